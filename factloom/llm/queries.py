@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import chat, mixing, packing, quality, warc
+from factloom.llm import chat, jaccard, mixing, packing, quality, warc
 from factloom.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_pairs(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -31,9 +35,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_packing, op2_warc_chunks, op3_chat_rotation, op9_mixing, op10_quality]
+    ops = [op1_packing, op2_warc_chunks, op3_chat_rotation, op8_ngram_jaccard, op9_mixing, op10_quality]
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_chunks": warc.chunk_pages_sql(), "op3_chat_rotation": chat.ROTATE_SQL, "op9_mixing": mixing.MIX_SQL}
+    return {"op2_warc_chunks": warc.chunk_pages_sql(), "op3_chat_rotation": chat.ROTATE_SQL, "op8_ngram_jaccard": jaccard.PAIRS_SQL, "op9_mixing": mixing.MIX_SQL}
