@@ -328,14 +328,14 @@ def groups(docs: DataFrame, **parameters) -> DataFrame:
 
 
 def pairs_ctes(docs: str = "documents", n: int = N, threshold: float = THRESHOLD) -> str:
-    """CTEs that end in `similar`, the rows of similar_pairs(); DuckDB."""
+    """CTEs that end in `alike`, the rows of similar_pairs(); DuckDB."""
     gram = " || ' ' || ".join(f"t[i + {k}]" if k else "t[i]" for k in range(n))
     return f"""
   words AS (SELECT doc_id, [x FOR x IN string_split_regex(lower(text), '[ \\t\\n\\r\\f\\v]+') IF x <> ''] AS t FROM {docs} WHERE doc_id IS NOT NULL AND text IS NOT NULL),
   grams AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) >= {n} THEN [{gram} FOR i IN range(1, len(t) - {n - 2})] ELSE [array_to_string(t, ' ')] END) AS g FROM words WHERE len(t) > 0),
   sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
   common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
-  similar AS (SELECT a AS doc_a, b AS doc_b, CAST(c AS DOUBLE) / (p.n + q.n - c) AS jaccard FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE CAST(c AS DOUBLE) / (p.n + q.n - c) >= {threshold})"""
+  alike AS (SELECT a AS doc_a, b AS doc_b, CAST(c AS DOUBLE) / (p.n + q.n - c) AS jaccard FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE CAST(c AS DOUBLE) / (p.n + q.n - c) >= {threshold})"""
 
 
-PAIRS_SQL = f"WITH {pairs_ctes().lstrip()}\nSELECT doc_a, doc_b, jaccard FROM similar"
+PAIRS_SQL = f"WITH {pairs_ctes().lstrip()}\nSELECT doc_a, doc_b, jaccard FROM alike"

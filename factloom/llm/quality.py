@@ -105,9 +105,9 @@ def chance(curve: tuple[float, float, float, float], difference: np.ndarray, siz
     return 1 / (1 + np.exp(-np.clip(share * (slope * difference / scale + offset) + (1 - share) * prior, -40, 40)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, chars: int) -> list[tuple[str, int, int]]:
-    """Up to 2*rows labelled texts of each class as (text, quality, rank within the class)."""
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id IS NOT NULL AND quality IN (0, 1)").dropDuplicates(["doc_id"])
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, chars: int, mark: str = "quality") -> list[tuple[str, int, int]]:
+    """Up to 2*rows labelled texts of each class of the 0/1 column `mark` as (text, class, rank within the class)."""
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(mark).cast("int").alias("quality")).filter("doc_id IS NOT NULL AND quality IN (0, 1)").dropDuplicates(["doc_id"])
     place = F.row_number().over(W.partitionBy("quality").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id"))
     # Ids and classes only are ranked; the ranked ids are few (a parameter), so their texts come by a broadcast join.
     chosen = marks.withColumn("place", place).filter(F.col("place") <= 2 * rows)
