@@ -39,6 +39,7 @@ FIT_ROWS = 2000
 THRESHOLD = 0.5
 PRECISION = 0.9
 PREFIXES = (6, 5, 4)
+CHANCE = np.log(1e-4)
 SYMBOLS = 27  # 0 is the word boundary, 1 to 26 are the letters
 BEAM = 16
 REMEMBERED = 400_000
@@ -219,7 +220,8 @@ def learn(sample: list[tuple[set[str], int]], toxic_share: float) -> dict[str, f
         return {}
     marks = [min((crc32(w.encode()) for w in words), default=0) for words, _ in sample]
     distinct = [len({m for m, (_, t) in zip(marks, sample) if t == k}) for k in (0, 1)]
-    least = max(3, 0.01 * distinct[1])
+    # so often that chance alone, among the words of this sample, would hardly put them all into toxic documents
+    least = max(3, 0.01 * distinct[1], CHANCE / np.log(distinct[1] / (distinct[0] + distinct[1] + 1)))
     odds = toxic_share / max(1e-9, 1 - toxic_share)
     found: dict[str, float] = {}
     for cut in (None, *PREFIXES):
