@@ -14,6 +14,8 @@ import pyarrow as pa
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BLOCK = 1 << 16
+_BLOCK_BYTES = 2 << 20
+_GROUP_TOKENS = 400_000
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _POWERS: list[np.ndarray] = []
@@ -53,33 +55,53 @@ def string_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], raw[offsets[0] : offsets[-1]]
 
 
-def token_hashes(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of every token, and for every row the index of its first token (length rows + 1)."""
-    rows = len(offsets) - 1
-    if not len(raw):
-        return np.zeros(0, U), np.zeros(rows + 1, np.int64)
+def _block_tokens(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte) of the tokens of a block; rows start at `edges`."""
     solid = ~_SPACE[raw]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
-    edge = offsets[:-1][offsets[:-1] < len(raw)]
-    first[edge] = solid[edge]
+    first[edges] = solid[edges]
     start = np.flatnonzero(first)
     if not len(start):
-        return np.zeros(0, U), np.zeros(rows + 1, np.int64)
+        return np.zeros(0, U), start
     # a token ends where the next byte is white space or belongs to another row
     last = solid.copy()
     last[:-1] &= ~solid[1:] | first[1:]
-    end = np.flatnonzero(last) + 1
-    length = end - start
+    length = np.flatnonzero(last) + 1 - start
     # polynomial hash of each token: sum of byte * BASE ** (position in token)
     power = _powers(int(length.max()))
-    mark = np.repeat(start, length)
     body = np.flatnonzero(solid)
-    value = (raw[body].astype(U) + U(1)) * power[body - mark]
-    at = np.concatenate(([0], np.cumsum(length)[:-1]))
-    h = np.add.reduceat(value, at)
-    h = mix64(h ^ (length.astype(U) << U(56)))
-    return h, np.searchsorted(start, offsets).astype(np.int64)
+    value = (raw[body].astype(U) + U(1)) * power[body - np.repeat(start, length)]
+    h = np.add.reduceat(value, np.concatenate(([0], np.cumsum(length)[:-1])))
+    return mix64(h ^ (length.astype(U) << U(56))), start
+
+
+def token_hashes(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every token, and for every row the index of its first token (length rows + 1).
+
+    Works in blocks of about _BLOCK_BYTES that end at a row's end or at white space, so memory beyond the result doesn't
+    grow with the batch or with a document.
+    """
+    edges = np.unique(offsets[:-1][offsets[:-1] < len(raw)])
+    hashes, starts, a = [np.zeros(0, U)], [np.zeros(0, np.int64)], 0
+    while a < len(raw):
+        b = a + _BLOCK_BYTES
+        if b < len(raw):
+            k = np.searchsorted(edges, b, side="right") - 1
+            if edges[k] > a:
+                b = int(edges[k])
+            else:
+                while b < len(raw) and not len(gap := np.flatnonzero(_SPACE[raw[b : b + _BLOCK]])):
+                    b += _BLOCK
+                b = min(len(raw), b + int(gap[0])) if b < len(raw) else len(raw)
+                k = np.searchsorted(edges, b, side="right") - 1
+                b = int(edges[k]) if edges[k] > a else b
+        b = min(b, len(raw))
+        h, start = _block_tokens(raw[a:b], edges[np.searchsorted(edges, a) : np.searchsorted(edges, b)] - a)
+        hashes.append(h)
+        starts.append(start + a)
+        a = b
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets).astype(np.int64)
 
 
 def gram_hashes(tokens: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,10 +129,18 @@ def gram_sets(col: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     tokens, at = token_hashes(offsets, raw)
     if not len(tokens):
         return np.zeros(0, U), np.zeros(rows + 1, np.int64)
-    h, row = gram_hashes(tokens, at, n)
-    bounds = np.searchsorted(row, np.arange(rows + 1))
-    for i in range(rows):
-        h[bounds[i] : bounds[i + 1]].sort()
-    keep = np.ones(len(h), bool)
-    keep[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    return h[keep], np.concatenate(([0], np.cumsum(np.bincount(row[keep], minlength=rows))))
+    # Groups of rows with about _GROUP_TOKENS tokens each bound the memory of the intermediate arrays.
+    out, count, a = [], np.zeros(rows, np.int64), 0
+    while a < rows:
+        b = max(a + 1, int(np.searchsorted(at, at[a] + _GROUP_TOKENS)))
+        b = min(b, rows)
+        h, row = gram_hashes(tokens[at[a] : at[b]], at[a : b + 1] - at[a], n)
+        bounds = np.searchsorted(row, np.arange(b - a + 1))
+        for i in range(b - a):
+            h[bounds[i] : bounds[i + 1]].sort()
+        keep = np.ones(len(h), bool)
+        keep[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+        out.append(h[keep])
+        count[a:b] = np.bincount(row[keep], minlength=b - a)
+        a = b
+    return np.concatenate(out), np.concatenate(([0], np.cumsum(count)))

@@ -44,8 +44,8 @@ from factloom.storage import shared_table
 N = 3
 THRESHOLD = 0.5
 ORDERS = 3
-BUCKET_GRAMS = 4_000_000
-BLOCK_ROWS = 3000
+BUCKET_GRAMS = 2_000_000
+BLOCK_ROWS = 2000
 BROADCAST_BYTES = 48 << 20
 PAIRS = "doc_a bigint, doc_b bigint, jaccard double"
 U = np.uint64
