@@ -34,3 +34,12 @@ WORD_COUNT_SQL = (
 def partitions_for(total: float, each: float) -> int:
     """How many groups hold `total` units when one should hold about `each`; never less than one."""
     return max(1, math.ceil((total or 0) / each))
+
+
+#: Largest table of ids and small numbers that is broadcast; counted before, and joined by a shuffle beyond it.
+BROADCAST_BYTES = 48 << 20
+
+
+def small_side(df: DataFrame, row_bytes: int = 64) -> DataFrame:
+    """df (a written table) with a broadcast hint if its rows fit BROADCAST_BYTES."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from factloom.llm.common import WORD_COUNT_SQL, partitions_for, word_count
+from factloom.llm.common import WHITE, WORD_COUNT_SQL, partitions_for, small_side, word_count
 from factloom.storage import shared_table
 
 SEED = "mix-1"
@@ -124,6 +124,16 @@ def mix(
     return chosen
 
 
+def select_mix(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of docs, all columns, that mix() chooses, once per epoch."""
+    chosen = mix(docs, **parameters).select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "lang", "source", "epoch")]).distinct()
+    chosen = small_side(shared_table(chosen, "mixing-chosen"))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_doc_id"))
+    for c in ("lang", "source"):
+        same &= F.coalesce(docs[c].cast("string"), F.lit("unknown")) == F.col(f"_{c}")
+    return docs.filter(F.col("text").rlike(f"[^{WHITE}]")).join(chosen, same).select(*[docs[c] for c in docs.columns])
+
+
 def _case(col: str, weights: Mapping[str, int]) -> str:
     return f"CASE {col} " + " ".join(f"WHEN '{k}' THEN {float(v)!r}" for k, v in sorted(weights.items())) + " ELSE 1.0 END" if weights else "1.0"
 

@@ -25,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -158,3 +159,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, keep: float = KEEP, dict_
     blank = ~F.coalesce(F.col("text").rlike("\\S"), F.lit(False))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.select("doc_id", "text", blank.alias("blank")).mapInArrow(score, SCHEMA)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, keep: float = KEEP, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that quality_scores() calls good."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def good(texts: pd.Series) -> pd.Series:
+        fitted = shared.value
+        both = Compressors(fitted[0], fitted[1]) if fitted else None
+        raw = [(t or "").encode() for t in texts]
+        p = chance(fitted[2], np.array([both.difference(r) for r in raw], float), np.array([len(r) for r in raw], float)) if both else np.full(len(raw), 0.5)
+        return pd.Series(p >= keep)
+
+    return docs.filter(F.col(text_col).rlike("\\S")).filter(F.pandas_udf(good, "boolean")(F.col(text_col).cast("string")))

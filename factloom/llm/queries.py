@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import chat, fingerprints, jaccard, mixing, packing, pages, quality, toxicity, warc
+from factloom.llm import chat, fingerprints, jaccard, mixing, neardup, packing, pages, quality, toxicity, warc
 from factloom.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
 
 
+def op4_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.similar_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_packing, op2_warc_chunks, op3_chat_rotation, op5_fingerprints, op6_page_differencing, op7_toxicity, op8_ngram_jaccard, op9_mixing, op10_quality]
+    ops = [op1_packing, op2_warc_chunks, op3_chat_rotation, op4_embedding_neardup, op5_fingerprints, op6_page_differencing, op7_toxicity, op8_ngram_jaccard, op9_mixing, op10_quality]
     return {f.__name__: f for f in ops}
 
 

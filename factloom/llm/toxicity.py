@@ -28,6 +28,7 @@ from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -258,34 +259,53 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[n
     return model, learn(sample, share.get(1, 0) / max(1, sum(share.values())))
 
 
+class Judge:
+    """Scores texts; what it learns about words is kept for the next text."""
+
+    def __init__(self, model: np.ndarray, lexicon: dict[str, float]):
+        self.restorer, self.lexicon, self.known = Restorer(model), lexicon, {}
+
+    def score(self, text: str) -> tuple[float, int, list[str]]:
+        """(score, tokens that decoding changed, matching words)."""
+        words, changed = words_of(text, self.restorer)
+        got = []
+        for w in words:
+            p = self.known.get(w)
+            if p is None:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                p = self.known[w] = match(w, self.lexicon)
+            if p:
+                got.append((w, p))
+        clean = 1.0
+        for _, p in sorted(got):
+            clean *= 1 - p
+        return (1 - clean if got else 0.0), changed, sorted(w for w, _ in got)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
     """One row per document: (doc_id, score, is_toxic, n_restored, hits)."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, fit_rows))  # 27**4 numbers and a lexicon of bounded support
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, lexicon = shared.value
-        restorer, known = Restorer(model), {}
+        judge = Judge(*shared.value)
         for batch in batches:
-            scores, counts, hits = [], [], []
-            for text in batch.column(1):
-                words, changed = words_of(text.as_py() or "", restorer)
-                clean, got = 1.0, []
-                for w in words:
-                    p = known.get(w)
-                    if p is None:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        p = known[w] = match(w, lexicon)
-                    if p:
-                        got.append((w, p))
-                for _, p in sorted(got):
-                    clean *= 1 - p
-                scores.append(1 - clean if got else 0.0)
-                counts.append(changed)
-                hits.append(sorted(w for w, _ in got))
+            scores, counts, hits = zip(*(judge.score(text.as_py() or "") for text in batch.column(1))) if len(batch) else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(scores, pa.float64()), pa.array([s >= threshold for s in scores], pa.bool_()), pa.array(counts, pa.int32()), pa.array(hits, pa.list_(pa.string()))],
                 names=["doc_id", "score", "is_toxic", "n_restored", "hits"],
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(score, SCHEMA)
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that toxicity() doesn't call toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        judge = Judge(*shared.value)
+        for texts in batches:
+            yield pd.Series([judge.score(t or "")[0] < threshold for t in texts], dtype=bool)
+
+    return docs.filter(F.pandas_udf(clean, "boolean")(F.col(text_col).cast("string")))
