@@ -10,7 +10,8 @@ Order 0 is rare-first over the whole corpus and drives the distributed part:
     bucket knows which grams occur in more than one document.  A gram of one document can't match, so it stays home -
     but it takes up a place at the front of its document's prefix, which empties the prefix of most documents.
 2.  What repeats returns to its document, which cuts its prefix; prefix tokens go to buckets again, and documents that
-    share one are linked.  A linked component holds every pair that passes the order-0 filter.
+    share one are linked if the tokens left behind it could still make them similar.  A linked component holds every
+    pair that passes the order-0 filter.
 3.  The texts of a component's documents meet in one task.  There equal sets are collapsed, the prefix filters of all
     orders are computed and intersected, the survivors are verified exactly on 64-bit gram hashes, and collapsed copies
     are expanded again.  A component of more than `block_rows` documents is cut into hashed blocks, and each pair of
@@ -33,10 +34,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import partitions_for
+from factloom.llm.common import partitions_for, small_side
 from factloom.llm.grams import gram_sets, mix64
 from factloom.operators.components import connected_components
 from factloom.storage import shared_table
@@ -46,7 +48,6 @@ THRESHOLD = 0.5
 ORDERS = 3
 BUCKET_GRAMS = 2_000_000
 BLOCK_ROWS = 2000
-BROADCAST_BYTES = 48 << 20
 PAIRS = "doc_a bigint, doc_b bigint, jaccard double"
 U = np.uint64
 
@@ -56,16 +57,36 @@ def prefix_length(size: np.ndarray, threshold: float) -> np.ndarray:
     return size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
 
 
+def squeeze(x: np.ndarray) -> bytes:
+    """Compressed bytes of an array, byte by byte of its elements (their high bytes are mostly alike)."""
+    x = np.ascontiguousarray(x)
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes())
+
+
+def unsqueeze(raw: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def _ascending(x: np.ndarray) -> bytes:
+    return squeeze(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def _from_ascending(raw: bytes, kind: type) -> np.ndarray:
+    return np.cumsum(unsqueeze(raw, kind), dtype=kind)
+
+
 def _pack(keys: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """Documents of a payload (once each), their sizes, and for every entry the place of its document."""
-    there, place = np.unique(at, return_inverse=True)
-    small = np.uint16 if len(there) < 1 << 16 else np.uint32
-    return keys[there].tobytes(), sizes[there].astype(np.uint32).tobytes(), place.astype(small).tobytes()
+    there = np.zeros(len(keys), bool)
+    there[at] = True
+    place = (np.cumsum(there) - 1)[at]
+    return keys[there].tobytes(), squeeze(sizes[there].astype(np.uint32)), squeeze(place.astype(np.uint16 if there.sum() < 1 << 16 else np.uint32))
 
 
 def _unpack(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys, sizes = np.frombuffer(row.keys, np.int64), np.frombuffer(row.sizes, np.uint32)
-    return keys, sizes, np.frombuffer(row.place, np.uint16 if len(keys) < 1 << 16 else np.uint32)
+    keys = np.frombuffer(row.keys, np.int64)
+    return keys, unsqueeze(row.sizes, np.uint32), unsqueeze(row.place, np.uint16 if len(keys) < 1 << 16 else np.uint32)
 
 
 def _cuts(part: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
@@ -97,9 +118,9 @@ def _grams_out(n: int, buckets: int):
             keys, sizes = batch.column(0).to_numpy(zero_copy_only=False), np.diff(at)
             row = np.repeat(np.arange(len(sizes)), sizes)
             part = _split(h, buckets)
-            by = np.argsort(part, kind="stable")
+            by = np.argsort(part.astype(U) << U(32) | h & U(0xFFFFFFFF))
             part, row, prints = part[by], row[by], h.astype(np.uint32)[by]
-            rows = [(b, *_pack(keys, sizes, row[s]), prints[s].tobytes()) for b, s in _cuts(part, buckets)]
+            rows = [(b, *_pack(keys, sizes, row[s]), _ascending(prints[s])) for b, s in _cuts(part, buckets)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 4])], names=["bucket", "keys", "sizes", "place", "prints"])
 
     return run
@@ -112,7 +133,7 @@ def _repeated(homes: int):
     """Grams of a bucket that several documents have, on their way to the documents."""
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        parts = [(_unpack(r), np.frombuffer(r.prints, np.uint32)) for r in frame.itertuples(index=False)]
+        parts = [(_unpack(r), _from_ascending(r.prints, np.uint32)) for r in frame.itertuples(index=False)]
         keys, inverse = np.unique(np.concatenate([p[0][0] for p in parts]), return_inverse=True)
         sizes = np.zeros(len(keys), np.uint32)
         sizes[inverse] = np.concatenate([p[0][1] for p in parts])
@@ -126,15 +147,15 @@ def _repeated(homes: int):
         keep = count > 1
         prints, doc, classes = prints[keep], doc[keep], np.minimum(255, np.log2(count[keep]) * 8).astype(np.uint8)
         home = _split(mix64(keys.view(U)), homes)[doc]
-        by = np.argsort(home, kind="stable")
+        by = np.argsort(home, kind="stable")  # prints stay ascending within a home
         home, prints, doc, classes = home[by], prints[by], doc[by], classes[by]
-        rows = [(h, key[0], *_pack(keys, sizes, doc[s]), prints[s].tobytes(), classes[s].tobytes()) for h, s in _cuts(home, homes)]
+        rows = [(h, key[0], *_pack(keys, sizes, doc[s]), _ascending(prints[s]), squeeze(classes[s])) for h, s in _cuts(home, homes)]
         return pd.DataFrame(rows, columns=["home", "bucket", "keys", "sizes", "place", "prints", "classes"])
 
     return run
 
 
-PREFIXES = "part int, grams binary, docs binary"
+PREFIXES = "part int, keys binary, sizes binary, place binary, grams binary, remaining binary"
 
 
 def _prefixes(threshold: float, parts: int):
@@ -146,39 +167,88 @@ def _prefixes(threshold: float, parts: int):
             keys, sizes, place = _unpack(r)
             key.append(keys[place])
             size.append(sizes[place])
-            g = np.frombuffer(r.prints, np.uint32).astype(U) | U(r.bucket) << U(32)
+            g = _from_ascending(r.prints, np.uint32).astype(U) | U(r.bucket) << U(32)
             gram.append(g)
-            rank.append(np.frombuffer(r.classes, np.uint8).astype(U) << U(56) | mix64(g) >> U(8))
+            rank.append(unsqueeze(r.classes, np.uint8).astype(U) << U(56) | mix64(g) >> U(8))
         key, size, gram, rank = map(np.concatenate, (key, size, gram, rank))
         by = np.lexsort((rank, key))
         key, size, gram = key[by], size[by].astype(np.int64), gram[by]
-        first = np.concatenate(([True], key[1:] != key[:-1]))
-        at = np.flatnonzero(first)
+        at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         count = np.diff(np.concatenate((at, [len(key)])))
-        number = np.arange(len(key)) - np.repeat(at, count)
-        alone = size - np.repeat(count, count)  # grams of this document only come first in the order
-        keep = number < prefix_length(size, threshold) - alone
-        key, gram = key[keep], gram[keep]
-        part = _split(mix64(gram), parts)
-        by = np.argsort(part, kind="stable")
-        part, key, gram = part[by], key[by], gram[by]
-        rows = [(p, gram[s].tobytes(), key[s].tobytes()) for p, s in _cuts(part, parts)]
-        return pd.DataFrame(rows, columns=["part", "grams", "docs"])
+        place = np.arange(len(key)) - np.repeat(at, count) + size - np.repeat(count, count)  # grams of this document only come first
+        keep = place < prefix_length(size, threshold)
+        key, gram, size, remaining = key[keep], gram[keep], size[keep], (size - place)[keep]
+        keys, first, doc = np.unique(key, return_index=True, return_inverse=True)
+        sizes, part = size[first], _split(mix64(gram), parts)
+        by = np.lexsort((gram, part))
+        part, gram, doc, remaining = part[by], gram[by], doc[by], remaining[by].astype(np.uint32)
+        rows = [(p, *_pack(keys, sizes, doc[s]), _ascending(gram[s]), squeeze(remaining[s])) for p, s in _cuts(part, parts)]
+        return pd.DataFrame(rows, columns=["part", "keys", "sizes", "place", "grams", "remaining"])
 
     return run
 
 
-def _links(frame: pd.DataFrame) -> pd.DataFrame:
-    """One star of edges for each shared prefix token."""
-    gram = np.concatenate([np.frombuffer(x, U) for x in frame["grams"]])
-    doc = np.concatenate([np.frombuffer(x, np.int64) for x in frame["docs"]])
-    by = np.lexsort((doc, gram))
-    gram, doc = gram[by], doc[by]
-    first = np.concatenate(([True], gram[1:] != gram[:-1]))
-    centre = doc[np.maximum.accumulate(np.where(first, np.arange(len(doc)), 0))]
-    keep = doc != centre
-    edges = pd.DataFrame({"a": centre[keep], "b": doc[keep]})
-    return edges.drop_duplicates()
+def _links(threshold: float):
+    """Edges between documents that share a prefix token and may still be similar by the token's places.
+
+    If a pair's first common token leaves r and s tokens (itself included) to sets of sizes a and b, they have at most
+    min(r, s) tokens in common and need t / (1 + t) * (a + b).  So r limits the size of a partner ("reach").  Documents
+    that reach their own size are linked in a chain by size, which connects all that may pair; each other document is
+    linked to those of the chain that it may pair with.
+    """
+    share = threshold / (1 + threshold)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        key, size, gram, left = [], [], [], []
+        for r in frame.itertuples(index=False):
+            keys, sizes, place = _unpack(r)
+            key.append(keys[place])
+            size.append(sizes[place])
+            gram.append(_from_ascending(r.grams, U))
+            left.append(unsqueeze(r.remaining, np.uint32))
+        key, size, gram, left = map(np.concatenate, (key, size, gram, left))
+        size = size.astype(np.int64)
+        by = np.lexsort((key, size, gram))
+        key, size, gram, left = key[by], size[by], gram[by], left[by].astype(np.float64)
+        reach = left / share - size + 1e-6
+        most = np.minimum(reach, size / threshold + 1e-6)
+        good = np.flatnonzero(reach >= size)
+        edges = [np.zeros((0, 2), np.int64)]
+
+        def link(x: np.ndarray, y: np.ndarray) -> None:
+            e = np.stack((np.minimum(key[x], key[y]), np.maximum(key[x], key[y])), 1)
+            edges.append(e[e[:, 0] != e[:, 1]])
+
+        x, y = good[:-1], good[1:]
+        chained = (gram[x] == gram[y]) & (size[y] <= most[x])
+        link(x[chained], y[chained])
+        # the others, each with the chain's members of sizes threshold * size to its reach, in the same list
+        other = np.flatnonzero(reach < size)
+        place = np.cumsum(np.concatenate(([0], (reach >= size).astype(np.int64))))  # good ones before an entry
+        at = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+        start = np.repeat(at, np.diff(np.append(at, len(gram))))
+        mark = np.unique(gram, return_inverse=True)[1].astype(np.float64) * (1 << 32) + size  # (list, size), exact below 2**53
+        base = mark[other] - size[other]
+        low = np.searchsorted(mark, base + np.ceil(threshold * size[other] - 1e-6))
+        high = np.searchsorted(mark, base + np.floor(np.maximum(reach[other], 0)), side="right")
+        low, high = place[np.maximum(low, start[other])], place[np.maximum(high, start[other])]
+        some = np.flatnonzero(high > low)
+        n, a = (high - low)[some], 0
+        total = np.concatenate(([0], np.cumsum(n)))
+        while a < len(some):
+            b = max(a + 1, int(np.searchsorted(total, total[a] + (1 << 21), side="right")) - 1)
+            m = n[a:b]
+            x = good[np.repeat(low[some[a:b]] - (total[a:b] - total[a]), m) + np.arange(m.sum())]
+            y = np.repeat(other[some[a:b]], m)
+            ok = size[y] <= most[x]
+            link(x[ok], y[ok])
+            if len(edges) > 64:
+                edges[:] = [np.unique(np.concatenate(edges), axis=0)]
+            a = b
+        found = np.concatenate(edges)
+        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]}).drop_duplicates()
+
+    return run
 
 
 def _candidates(sets: list[np.ndarray], orders: list[np.ndarray], size: np.ndarray, threshold: float, vocabulary: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -300,7 +370,7 @@ def linked(docs: DataFrame, n: int, threshold: float, bucket_grams: int = BUCKET
     grams = docs.select("key", "text").mapInArrow(_grams_out(n, buckets), GRAM_ROWS)
     back = grams.groupBy("bucket").applyInPandas(_repeated(homes), REPEATED)
     heads = back.groupBy("home").applyInPandas(_prefixes(threshold, homes), PREFIXES)
-    edges = heads.groupBy("part").applyInPandas(_links, "a bigint, b bigint")
+    edges = heads.groupBy("part").applyInPandas(_links(threshold), "a bigint, b bigint")
     return connected_components(edges)
 
 
@@ -312,8 +382,7 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, ord
     size = parts.groupBy("component").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks"))
     parts = parts.join(size, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     parts = shared_table(parts.select(F.col("node").alias("key"), "component", "blocks", "block"), "jaccard-blocks")
-    if parts.count() * 40 <= BROADCAST_BYTES:
-        parts = F.broadcast(parts)  # keys of the linked documents, when few enough
+    parts = small_side(parts)  # keys of the linked documents, when few enough
     # A document meets every block of its component: (i, j) with i <= j holds blocks i and j.
     met = slim.join(parts, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("doc_id", "text", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
@@ -327,6 +396,22 @@ def groups(docs: DataFrame, **parameters) -> DataFrame:
     return found.select(F.col("node").alias("doc_id"), F.col("component").alias("keeper"))
 
 
+def keep_one(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of docs, all columns, without the members of similar groups but each group's keeper.
+
+    Of several rows with one id the first in the order of their columns stays; rows with a null id stay.
+    """
+    gone = shared_table(groups(docs, **parameters).filter("doc_id <> keeper").select(F.col("doc_id").alias("_gone")), "jaccard-gone")
+    kept = docs.join(small_side(gone), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    again = shared_table(docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("_again")).count().filter("count > 1").select("_again"), "jaccard-again")
+    if again.isEmpty():
+        return kept
+    again = small_side(again)
+    repeated = kept.join(again, kept["doc_id"].cast("long") == F.col("_again"), "left_semi")
+    first = repeated.groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.struct(*repeated.columns)).alias("_row")).select("_row.*")
+    return kept.join(again, kept["doc_id"].cast("long") == F.col("_again"), "left_anti").unionByName(first)
+
+
 def pairs_ctes(docs: str = "documents", n: int = N, threshold: float = THRESHOLD) -> str:
     """CTEs that end in `alike`, the rows of similar_pairs(); DuckDB."""
     gram = " || ' ' || ".join(f"t[i + {k}]" if k else "t[i]" for k in range(n))
