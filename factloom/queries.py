@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factloom.plans import effect_queries, graph_queries
+
+AREAS = (effect_queries, graph_queries)
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries()["effect_closure"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: f for area in AREAS for k, f in area.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for area in AREAS for k, s in area.SQL.items()}
