@@ -21,6 +21,9 @@ Everything is partitioned by hashed gram or document; nothing is broadcast but k
 cap on how often a gram may occur or on partners.  The number of pairs of a group is quadratic in the group, being the
 result itself; `groups` gives the linear form.
 
+Documents are named on the way by their task, batch and place, so `docs` should be a table or another source that gives
+the same rows in the same order when a task is repeated.
+
 Defined cases: null, empty and blank texts have no grams and no partners; a text of fewer than n words is one gram; rows
 with a null id are ignored; repeated rows count once, and a document never pairs with itself, even if its id occurs
 with several texts (each of them is compared with other documents; the best similarity counts); an empty table gives an
@@ -35,6 +38,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,13 +84,7 @@ def _pack(keys: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[bytes, b
     """Documents of a payload (once each), their sizes, and for every entry the place of its document."""
     there = np.zeros(len(keys), bool)
     there[at] = True
-    place = (np.cumsum(there) - 1)[at]
-    return keys[there].tobytes(), squeeze(sizes[there].astype(np.uint32)), squeeze(place.astype(np.uint16 if there.sum() < 1 << 16 else np.uint32))
-
-
-def _unpack(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys = np.frombuffer(row.keys, np.int64)
-    return keys, unsqueeze(row.sizes, np.uint32), unsqueeze(row.place, np.uint16 if len(keys) < 1 << 16 else np.uint32)
+    return keys[there].tobytes(), squeeze(sizes[there].astype(np.uint32)), squeeze((np.cumsum(there) - 1)[at].astype(np.uint32))
 
 
 def _cuts(part: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
@@ -106,53 +104,51 @@ def _split(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> U(32)) * U(parts) >> U(32)).astype(np.int64)
 
 
-GRAM_ROWS = "bucket int, keys binary, sizes binary, place binary, prints binary"
+GRAM_ROWS = "bucket int, home bigint, place binary, prints binary, keys binary, sizes binary"
 
 
 def _grams_out(n: int, buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    """A batch of documents sends its grams to the buckets, and its keys along with one of them (for the way back)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for home, batch in enumerate(batches, first):
             h, at = gram_sets(batch.column(1), n)
             if not len(h):
                 continue
             keys, sizes = batch.column(0).to_numpy(zero_copy_only=False), np.diff(at)
-            row = np.repeat(np.arange(len(sizes)), sizes)
+            row = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
             part = _split(h, buckets)
             by = np.argsort(part.astype(U) << U(32) | h & U(0xFFFFFFFF))
             part, row, prints = part[by], row[by], h.astype(np.uint32)[by]
-            rows = [(b, *_pack(keys, sizes, row[s]), _ascending(prints[s])) for b, s in _cuts(part, buckets)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 4])], names=["bucket", "keys", "sizes", "place", "prints"])
+            rows = [[b, home, squeeze(row[s]), _ascending(prints[s]), None, None] for b, s in _cuts(part, buckets)]
+            rows[home % len(rows)][4:] = keys.tobytes(), squeeze(sizes.astype(np.uint32))
+            kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["bucket", "home", "place", "prints", "keys", "sizes"])
 
     return run
 
 
-REPEATED = "home int, bucket int, keys binary, sizes binary, place binary, prints binary, classes binary"
-
-
-def _repeated(homes: int):
-    """Grams of a bucket that several documents have, on their way to the documents."""
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        parts = [(_unpack(r), _from_ascending(r.prints, np.uint32)) for r in frame.itertuples(index=False)]
-        keys, inverse = np.unique(np.concatenate([p[0][0] for p in parts]), return_inverse=True)
-        sizes = np.zeros(len(keys), np.uint32)
-        sizes[inverse] = np.concatenate([p[0][1] for p in parts])
-        start = np.cumsum([0, *[len(p[0][0]) for p in parts]])
-        doc = np.concatenate([inverse[s + p[0][2].astype(np.int64)] for s, p in zip(start, parts)]).astype(U)
-        both = np.unique(np.concatenate([p[1] for p in parts]).astype(U) << U(32) | doc)  # repeated rows count once
-        prints, doc = (both >> U(32)).astype(np.uint32), (both & U(0xFFFFFFFF)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], prints[1:] != prints[:-1])))
-        count = np.diff(np.concatenate((first, [len(prints)])))
-        count = np.repeat(count, count)
-        keep = count > 1
-        prints, doc, classes = prints[keep], doc[keep], np.minimum(255, np.log2(count[keep]) * 8).astype(np.uint8)
-        home = _split(mix64(keys.view(U)), homes)[doc]
-        by = np.argsort(home, kind="stable")  # prints stay ascending within a home
-        home, prints, doc, classes = home[by], prints[by], doc[by], classes[by]
-        rows = [(h, key[0], *_pack(keys, sizes, doc[s]), _ascending(prints[s]), squeeze(classes[s])) for h, s in _cuts(home, homes)]
-        return pd.DataFrame(rows, columns=["home", "bucket", "keys", "sizes", "place", "prints", "classes"])
+REPEATED = "home bigint, bucket int, place binary, prints binary, classes binary, keys binary, sizes binary"
 
-    return run
+
+def _repeated(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    """Grams of a bucket that several documents have, on their way back to the documents."""
+    prints = [_from_ascending(x, np.uint32) for x in frame["prints"]]
+    start = np.cumsum([0, *map(len, prints)])
+    prints = np.concatenate(prints)
+    by = np.argsort(prints, kind="stable")
+    ordered = prints[by]
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    count = np.diff(np.append(first, len(ordered)))
+    classes = np.zeros(len(prints), np.uint8)
+    classes[by] = np.repeat(np.where(count > 1, np.minimum(255, np.log2(count) * 8), 0).astype(np.uint8), count)
+    rows = []
+    for r, a, b in zip(frame.itertuples(index=False), start[:-1], start[1:]):
+        keep = classes[a:b] > 0
+        if keep.any() or r.keys is not None:
+            rows.append((r.home, key[0], squeeze(unsqueeze(r.place, np.uint32)[keep]), _ascending(prints[a:b][keep]), squeeze(classes[a:b][keep]), r.keys, r.sizes))
+    return pd.DataFrame(rows, columns=["home", "bucket", "place", "prints", "classes", "keys", "sizes"])
 
 
 PREFIXES = "part int, keys binary, sizes binary, place binary, grams binary, remaining binary"
@@ -162,15 +158,19 @@ def _prefixes(threshold: float, parts: int):
     """Prefix tokens (order 0) of the documents at home here, on their way to the tokens."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        own = frame[frame["keys"].notna()].iloc[0]
+        all_keys, all_sizes = np.frombuffer(own["keys"], np.int64), unsqueeze(own["sizes"], np.uint32)
         key, size, gram, rank = [], [], [], []
         for r in frame.itertuples(index=False):
-            keys, sizes, place = _unpack(r)
-            key.append(keys[place])
-            size.append(sizes[place])
+            place = unsqueeze(r.place, np.uint32)
+            key.append(all_keys[place])
+            size.append(all_sizes[place])
             g = _from_ascending(r.prints, np.uint32).astype(U) | U(r.bucket) << U(32)
             gram.append(g)
             rank.append(unsqueeze(r.classes, np.uint8).astype(U) << U(56) | mix64(g) >> U(8))
         key, size, gram, rank = map(np.concatenate, (key, size, gram, rank))
+        if not len(key):
+            return pd.DataFrame([], columns=["part", "keys", "sizes", "place", "grams", "remaining"])
         by = np.lexsort((rank, key))
         key, size, gram = key[by], size[by].astype(np.int64), gram[by]
         at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -201,9 +201,9 @@ def _links(threshold: float):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         key, size, gram, left = [], [], [], []
         for r in frame.itertuples(index=False):
-            keys, sizes, place = _unpack(r)
-            key.append(keys[place])
-            size.append(sizes[place])
+            place = unsqueeze(r.place, np.uint32)
+            key.append(np.frombuffer(r.keys, np.int64)[place])
+            size.append(unsqueeze(r.sizes, np.uint32)[place])
             gram.append(_from_ascending(r.grams, U))
             left.append(unsqueeze(r.remaining, np.uint32))
         key, size, gram, left = map(np.concatenate, (key, size, gram, left))
@@ -304,11 +304,19 @@ def join_sets(sets: list[np.ndarray], threshold: float, orders: int = ORDERS) ->
             yield i, j[hit], score[hit]
 
 
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for their way to the task that compares them."""
+    zipper = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        yield batch.set_column(1, "text", pa.array([zipper.compress(t.as_py().encode()) for t in batch.column(1)], pa.binary()))
+
+
 def _verify(n: int, threshold: float, orders: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         ids = table.column("doc_id").to_numpy()
         side = table.column("block").to_numpy()
-        h, at = gram_sets(table.column("text"), n)
+        unzip = zstandard.ZstdDecompressor()
+        h, at = gram_sets(pa.array([unzip.decompress(t.as_py()) for t in table.column("text")], pa.binary()), n)
         same: dict[bytes, int] = {}
         sets, members = [], []
         for r in range(len(ids)):
@@ -366,10 +374,10 @@ def linked(docs: DataFrame, n: int, threshold: float, bucket_grams: int = BUCKET
     """(node, component) of the documents (by their key) that share a prefix token of order 0 with another."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = partitions_for(chars / 6, bucket_grams)  # about 6 characters a word; only sizes the buckets
-    homes = partitions_for(chars / 6, 2 * bucket_grams)
+    parts = partitions_for(chars / 6, 8 * bucket_grams)  # prefix tokens are a small part of all
     grams = docs.select("key", "text").mapInArrow(_grams_out(n, buckets), GRAM_ROWS)
-    back = grams.groupBy("bucket").applyInPandas(_repeated(homes), REPEATED)
-    heads = back.groupBy("home").applyInPandas(_prefixes(threshold, homes), PREFIXES)
+    back = grams.groupBy("bucket").applyInPandas(_repeated, REPEATED)
+    heads = back.groupBy("home").applyInPandas(_prefixes(threshold, parts), PREFIXES)
     edges = heads.groupBy("part").applyInPandas(_links(threshold), "a bigint, b bigint")
     return connected_components(edges)
 
@@ -386,6 +394,7 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, ord
     # A document meets every block of its component: (i, j) with i <= j holds blocks i and j.
     met = slim.join(parts, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("doc_id", "text", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    met = met.mapInArrow(_zipped, "doc_id bigint, text binary, component bigint, block int, i int, j int")
     pairs = met.groupBy("component", "i", "j").applyInArrow(_verify(n, threshold, orders), PAIRS)
     return pairs.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
