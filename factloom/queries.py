@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.plans import effect_queries, graph_queries, port_queries, similar_queries
+from factloom.plans import api_queries, effect_queries, graph_queries, port_queries, range_queries, similar_queries
 
-AREAS = (effect_queries, graph_queries, port_queries, similar_queries)
+AREAS = (effect_queries, graph_queries, port_queries, similar_queries, range_queries, api_queries)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
