@@ -411,14 +411,15 @@ def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     Of several rows with one id the first in the order of their columns stays; rows with a null id stay.
     """
     gone = shared_table(groups(docs, **parameters).filter("doc_id <> keeper").select(F.col("doc_id").alias("_gone")), "jaccard-gone")
-    kept = docs.join(small_side(gone), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    gone = small_side(gone)
+    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
     again = shared_table(docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("_again")).count().filter("count > 1").select("_again"), "jaccard-again")
     if again.isEmpty():
         return kept
     again = small_side(again)
-    repeated = kept.join(again, kept["doc_id"].cast("long") == F.col("_again"), "left_semi")
+    repeated = kept.join(again, kept["doc_id"].cast("long") == again["_again"], "left_semi")
     first = repeated.groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.struct(*repeated.columns)).alias("_row")).select("_row.*")
-    return kept.join(again, kept["doc_id"].cast("long") == F.col("_again"), "left_anti").unionByName(first)
+    return kept.join(again, kept["doc_id"].cast("long") == again["_again"], "left_anti").unionByName(first)
 
 
 def pairs_ctes(docs: str = "documents", n: int = N, threshold: float = THRESHOLD) -> str:

@@ -128,9 +128,9 @@ def select_mix(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of docs, all columns, that mix() chooses, once per epoch."""
     chosen = mix(docs, **parameters).select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "lang", "source", "epoch")]).distinct()
     chosen = small_side(shared_table(chosen, "mixing-chosen"))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_doc_id"))
+    same = docs["doc_id"].cast("long").eqNullSafe(chosen["_doc_id"])
     for c in ("lang", "source"):
-        same &= F.coalesce(docs[c].cast("string"), F.lit("unknown")) == F.col(f"_{c}")
+        same &= F.coalesce(docs[c].cast("string"), F.lit("unknown")) == chosen[f"_{c}"]
     return docs.filter(F.col("text").rlike(f"[^{WHITE}]")).join(chosen, same).select(*[docs[c] for c in docs.columns])
 
 

@@ -118,9 +118,9 @@ def corpus_counts(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["gram", "n"])
 
     rows = docs.select(F.concat(F.col("text").cast("string"), F.lit(" ")).alias("text")).filter("text IS NOT NULL").mapInArrow(count, "gram int, n bigint")
-    summed = rows.groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+    summed = rows.groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # at most SYMBOLS**4 rows
     out = np.zeros(SYMBOLS**4, np.int64)
-    out[summed["gram"].to_numpy(dtype=np.int64)] = summed["n"].to_numpy(dtype=np.int64)
+    out[summed["gram"].to_numpy()] = summed["n"].to_numpy()
     return out
 
 
