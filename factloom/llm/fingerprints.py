@@ -26,11 +26,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import partitions_for
-from factloom.llm.grams import U, mix64, string_buffers
+from factloom.llm.common import partitions_for, small_side
+from factloom.llm.grams import U, ascending, from_ascending, mix64, squeeze, string_buffers, unsqueeze
 from factloom.storage import shared_table
 
 MIN_SCORE = 70
@@ -151,35 +153,61 @@ def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
     return ((key >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
 
 
+ENTRIES = "bucket int, home bigint, keys binary, place binary, reps binary, levels binary, texts binary"
+
+
 def _entries(buckets: int):
+    """A batch of signatures sends (40 bits of the key, place in the batch) to the buckets, and itself along with one of them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rep, level = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            row, key = _keys(*_codes(batch.column(2).to_pylist()), level)
-            part = _bucket(key, buckets)
-            by = np.argsort(part, kind="stable")
-            part, key, row = part[by], key[by], row[by]
-            at = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)])) if len(part) else np.zeros(1, int)
-            rows = [(int(part[x]), key[x:y].tobytes(), rep[row[x:y]].tobytes(), level[row[x:y]].tobytes()) for x, y in zip(at[:-1], at[1:])]
-            columns = zip(*rows) if rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.binary()] * 3))], names=["bucket", "keys", "reps", "levels"])
+        for home, batch in enumerate(batches, TaskContext.get().partitionId() << 32):
+            rep, level, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            row, key = _keys(*_codes(texts), level)
+            if not len(key):
+                continue
+            by = np.argsort(key)
+            part, key, row = _bucket(key[by], buckets), key[by] >> U(24), row[by].astype(np.uint32)
+            at = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)]))
+            rows = [[int(part[x]), home, ascending(key[x:y]), squeeze(row[x:y]), None, None, None] for x, y in zip(at[:-1], at[1:])]
+            rows[home % len(rows)][4:] = rep.tobytes(), squeeze(level), zstandard.compress("\n".join(texts).encode(), 1)
+            kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["bucket", "home", "keys", "place", "reps", "levels", "texts"])
 
     return run
 
 
 def _shared(frame: pd.DataFrame) -> pd.DataFrame:
-    """Entries whose key several fingerprints have; of keys with the same list of fingerprints one is enough."""
-    key, rep, level = (np.concatenate([np.frombuffer(x, t) for x in frame[c]]) for c, t in (("keys", U), ("reps", np.int64), ("levels", np.int64)))
-    by = np.lexsort((rep, key))
-    key, rep, level = key[by], rep[by], level[by]
-    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    """Entries whose key several signatures have, on their way back; of keys with the same list of signatures one is enough."""
+    keys, places = [from_ascending(k, U) for k in frame["keys"]], [unsqueeze(p, np.uint32) for p in frame["place"]]
+    start = np.cumsum([0, *map(len, keys)])
+    origin = np.concatenate([mix64((np.uint64(h) << U(24)) + p.astype(U)) for h, p in zip(frame["home"], places)])
+    key = np.concatenate(keys)
+    by = np.argsort(key, kind="stable")
+    ordered = key[by]
+    at = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
     count = np.diff(np.append(at, len(key)))
-    lists = np.add.reduceat(mix64(rep.view(U) ^ mix64(level.view(U))), at)
+    lists = np.add.reduceat(origin[by], at)
     order = np.lexsort((at, count, lists))
     repeat = np.zeros(len(at), bool)
     repeat[order[1:]] = (lists[order[1:]] == lists[order[:-1]]) & (count[order[1:]] == count[order[:-1]])
-    keep = np.repeat((count > 1) & ~repeat, count)
-    return pd.DataFrame({"gram": key[keep].view(np.int64), "rep": rep[keep], "level": level[keep]})
+    keep = np.zeros(len(key), bool)
+    keep[by] = np.repeat((count > 1) & ~repeat, count)
+    rows = []
+    for r, k, p, a, b in zip(frame.itertuples(index=False), keys, places, start[:-1], start[1:]):
+        own = keep[a:b]
+        if own.any() or r.reps is not None:
+            rows.append((r.home, ascending(k[own]), squeeze(p[own]), r.reps, r.levels, r.texts))
+    return pd.DataFrame(rows, columns=["home", "keys", "place", "reps", "levels", "texts"])
+
+
+def _at_home(frame: pd.DataFrame) -> pd.DataFrame:
+    """The signatures of a batch with the keys that they share with others."""
+    own = frame[frame["reps"].notna()].iloc[0]
+    reps, levels = np.frombuffer(own["reps"], np.int64), unsqueeze(own["levels"], np.int64)
+    texts = np.array(zstandard.decompress(own["texts"]).decode().split("\n"), dtype=object)
+    place = np.concatenate([unsqueeze(p, np.uint32) for p in frame["place"]])
+    key = np.concatenate([from_ascending(k, U) for k in frame["keys"]])
+    return pd.DataFrame({"gram": key.view(np.int64), "rep": reps[place], "level": levels[place], "text": texts[place]})
 
 
 def common_subsequence(masks: np.ndarray, size: np.ndarray, codes: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -246,13 +274,16 @@ def similar_fingerprints(docs: DataFrame, min_score: int = MIN_SCORE, bucket_ent
     levels = F.array(F.struct(F.col("block_size").alias("level"), F.col("signature").alias("text")), F.struct((F.col("block_size") * 2).alias("level"), F.col("signature2").alias("text")))
     levels = reps.select("rep", F.inline(levels)).filter("length(text) >= 7")
     buckets = partitions_for(reps.count() * 60, bucket_entries)
-    shared = levels.mapInArrow(_entries(buckets), "bucket int, keys binary, reps binary, levels binary").groupBy("bucket").applyInPandas(_shared, "gram bigint, rep bigint, level bigint")
-    met = shared.join(levels, ["rep", "level"]).withColumn("bucket", F.pmod("gram", F.lit(4 * buckets)))
+    shared = levels.mapInArrow(_entries(buckets), ENTRIES).groupBy("bucket").applyInPandas(_shared, "home bigint, keys binary, place binary, reps binary, levels binary, texts binary")
+    met = shared.groupBy("home").applyInPandas(_at_home, "gram bigint, rep bigint, level bigint, text string")
+    met = met.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(4 * buckets))).repartition(4 * buckets, "bucket")
     found = met.groupBy("bucket").applyInPandas(_compare(min_score), "rep_a bigint, rep_b bigint, score bigint").groupBy("rep_a", "rep_b").agg(F.max("score").alias("score"))
-    members = prints.select("doc_id", F.xxhash64(*same).alias("rep")).distinct()
-    one = members.select(F.col("doc_id").alias("x"), F.col("rep").alias("rep_a"))
-    two = members.select(F.col("doc_id").alias("y"), F.col("rep").alias("rep_b"))
+    members = shared_table(prints.select("doc_id", F.xxhash64(*same).alias("rep")).distinct(), "fingerprint-members")
+    one = small_side(members.select(F.col("doc_id").alias("x"), F.col("rep").alias("rep_a")))
+    two = small_side(members.select(F.col("doc_id").alias("y"), F.col("rep").alias("rep_b")))
     copies = one.join(two, F.expr("rep_a = rep_b AND x < y")).select("x", "y", F.lit(100).cast("long").alias("score"))
     near = found.join(one, "rep_a").join(two, "rep_b").filter("x <> y").select("x", "y", "score")
-    pairs = copies.unionByName(near).groupBy(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
-    return pairs.agg(F.max("score").cast("int").alias("score"))
+    pairs = copies.unionByName(near).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), F.col("score").cast("int").alias("score"))
+    if members.count() == members.select("doc_id").distinct().count():
+        return pairs  # one fingerprint per id: no pair comes twice
+    return pairs.groupBy("doc_a", "doc_b").agg(F.max("score").alias("score"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -144,3 +145,22 @@ def gram_sets(col: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
         count[a:b] = np.bincount(row[keep], minlength=b - a)
         a = b
     return np.concatenate(out), np.concatenate(([0], np.cumsum(count)))
+
+
+def squeeze(x: np.ndarray) -> bytes:
+    """Compressed bytes of an array, byte by byte of its elements (their high bytes are mostly alike)."""
+    x = np.ascontiguousarray(x)
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes())
+
+
+def unsqueeze(raw: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def ascending(x: np.ndarray) -> bytes:
+    return squeeze(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def from_ascending(raw: bytes, kind: type) -> np.ndarray:
+    return np.cumsum(unsqueeze(raw, kind), dtype=kind)

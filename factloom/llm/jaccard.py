@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import partitions_for, small_side
-from factloom.llm.grams import gram_sets, mix64
+from factloom.llm.grams import ascending, from_ascending, gram_sets, mix64, squeeze, unsqueeze
 from factloom.operators.components import connected_components
 from factloom.storage import shared_table
 
@@ -61,25 +61,6 @@ def prefix_length(size: np.ndarray, threshold: float) -> np.ndarray:
     return size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
 
 
-def squeeze(x: np.ndarray) -> bytes:
-    """Compressed bytes of an array, byte by byte of its elements (their high bytes are mostly alike)."""
-    x = np.ascontiguousarray(x)
-    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes())
-
-
-def unsqueeze(raw: bytes, kind: type) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
-    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
-
-
-def _ascending(x: np.ndarray) -> bytes:
-    return squeeze(np.diff(x, prepend=x.dtype.type(0)))
-
-
-def _from_ascending(raw: bytes, kind: type) -> np.ndarray:
-    return np.cumsum(unsqueeze(raw, kind), dtype=kind)
-
-
 def _pack(keys: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """Documents of a payload (once each), their sizes, and for every entry the place of its document."""
     there = np.zeros(len(keys), bool)
@@ -121,7 +102,7 @@ def _grams_out(n: int, buckets: int):
             part = _split(h, buckets)
             by = np.argsort(part.astype(U) << U(32) | h & U(0xFFFFFFFF))
             part, row, prints = part[by], row[by], h.astype(np.uint32)[by]
-            rows = [[b, home, squeeze(row[s]), _ascending(prints[s]), None, None] for b, s in _cuts(part, buckets)]
+            rows = [[b, home, squeeze(row[s]), ascending(prints[s]), None, None] for b, s in _cuts(part, buckets)]
             rows[home % len(rows)][4:] = keys.tobytes(), squeeze(sizes.astype(np.uint32))
             kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["bucket", "home", "place", "prints", "keys", "sizes"])
@@ -134,7 +115,7 @@ REPEATED = "home bigint, bucket int, place binary, prints binary, classes binary
 
 def _repeated(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     """Grams of a bucket that several documents have, on their way back to the documents."""
-    prints = [_from_ascending(x, np.uint32) for x in frame["prints"]]
+    prints = [from_ascending(x, np.uint32) for x in frame["prints"]]
     start = np.cumsum([0, *map(len, prints)])
     prints = np.concatenate(prints)
     by = np.argsort(prints, kind="stable")
@@ -147,7 +128,7 @@ def _repeated(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     for r, a, b in zip(frame.itertuples(index=False), start[:-1], start[1:]):
         keep = classes[a:b] > 0
         if keep.any() or r.keys is not None:
-            rows.append((r.home, key[0], squeeze(unsqueeze(r.place, np.uint32)[keep]), _ascending(prints[a:b][keep]), squeeze(classes[a:b][keep]), r.keys, r.sizes))
+            rows.append((r.home, key[0], squeeze(unsqueeze(r.place, np.uint32)[keep]), ascending(prints[a:b][keep]), squeeze(classes[a:b][keep]), r.keys, r.sizes))
     return pd.DataFrame(rows, columns=["home", "bucket", "place", "prints", "classes", "keys", "sizes"])
 
 
@@ -165,7 +146,7 @@ def _prefixes(threshold: float, parts: int):
             place = unsqueeze(r.place, np.uint32)
             key.append(all_keys[place])
             size.append(all_sizes[place])
-            g = _from_ascending(r.prints, np.uint32).astype(U) | U(r.bucket) << U(32)
+            g = from_ascending(r.prints, np.uint32).astype(U) | U(r.bucket) << U(32)
             gram.append(g)
             rank.append(unsqueeze(r.classes, np.uint8).astype(U) << U(56) | mix64(g) >> U(8))
         key, size, gram, rank = map(np.concatenate, (key, size, gram, rank))
@@ -182,7 +163,7 @@ def _prefixes(threshold: float, parts: int):
         sizes, part = size[first], _split(mix64(gram), parts)
         by = np.lexsort((gram, part))
         part, gram, doc, remaining = part[by], gram[by], doc[by], remaining[by].astype(np.uint32)
-        rows = [(p, *_pack(keys, sizes, doc[s]), _ascending(gram[s]), squeeze(remaining[s])) for p, s in _cuts(part, parts)]
+        rows = [(p, *_pack(keys, sizes, doc[s]), ascending(gram[s]), squeeze(remaining[s])) for p, s in _cuts(part, parts)]
         return pd.DataFrame(rows, columns=["part", "keys", "sizes", "place", "grams", "remaining"])
 
     return run
@@ -204,7 +185,7 @@ def _links(threshold: float):
             place = unsqueeze(r.place, np.uint32)
             key.append(np.frombuffer(r.keys, np.int64)[place])
             size.append(unsqueeze(r.sizes, np.uint32)[place])
-            gram.append(_from_ascending(r.grams, U))
+            gram.append(from_ascending(r.grams, U))
             left.append(unsqueeze(r.remaining, np.uint32))
         key, size, gram, left = map(np.concatenate, (key, size, gram, left))
         size = size.astype(np.int64)
