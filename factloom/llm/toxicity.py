@@ -6,8 +6,8 @@ the run may stand for and the channel's cost of each - and Viterbi decoding find
 model of order 4 (counted over the whole corpus) makes most probable.  Tokens without look-alikes, symbols or repeated
 letters have a single path, so decoding them is a no-op and they skip it; decoded tokens are remembered per worker.
 
-The restored words are then scored: a lexicon of words, and of word beginnings for languages whose words vary, is
-learnt from labelled documents.  A feature counts once per *distinct* document (minhash of its words), so that copies of
+The restored words are then scored: a lexicon of words, and of word beginnings (one to four distinct words with it) for
+languages whose words vary, is learnt from labelled documents.  A feature counts once per *distinct* document (minhash of its words), so that copies of
 one toxic document don't make its harmless words suspicious.  The score is 1 - product of (1 - precision) over a
 document's distinct matches: the probability that at least one of them means what it meant in the labelled texts.
 
@@ -23,8 +23,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -39,7 +40,8 @@ from factloom.llm.quality import labelled_sample
 FIT_ROWS = 2000
 THRESHOLD = 0.5
 PRECISION = 0.9
-PREFIXES = (6, 5, 4)
+PREFIXES = (7, 6, 5, 4)
+MOST = 4  # distinct words of one beginning that count
 CHANCE = np.log(1e-4)
 SYMBOLS = 27  # 0 is the word boundary, 1 to 26 are the letters
 BEAM = 16
@@ -70,12 +72,11 @@ def _table() -> np.ndarray:
 _SYMBOL = _table()
 
 
-def fold(word: str) -> str:
-    """Lower case without accents; letters beyond a to z stay."""
-    if word.isascii():
-        return word.lower()
-    plain = unicodedata.normalize("NFD", word.lower().replace("ß", "s"))
-    return "".join(c for c in plain if not unicodedata.combining(c))
+@lru_cache(maxsize=4096)
+def symbol_of(letter: str) -> int:
+    """1 to 26 for letters whose base is a to z, else 0."""
+    base = "s" if letter == "ß" else unicodedata.normalize("NFD", letter)[0].lower()
+    return ord(base) - 96 if "a" <= base <= "z" else 0
 
 
 def symbols(raw: np.ndarray) -> np.ndarray:
@@ -139,7 +140,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     columns = []
     for m in RUNS.finditer(token):
         c, n = m.group(1), m.end() - m.start()
-        if "a" <= c <= "z":
+        if c.isalpha():
             columns.append([(c, 0.0)] if n == 1 else [(c + c, 0.0), (c, 1.0)] if n == 2 else [(c, 0.0), (c + c, 0.0)])
         else:
             options = [(x, 1.0 if c != "*" else 2.5) for x in LOOK_ALIKE.get(c, "")]
@@ -150,7 +151,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 
 
 def decode(token: str, model: np.ndarray) -> str:
-    """Most probable writing of a folded token (Viterbi; a state is the last three symbols)."""
+    """Most probable writing of a lower-case token (Viterbi; a state is the last three symbols)."""
     states: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
     item = model.item
     for column in [*lattice(token), [(" ", 0.0)]]:
@@ -159,7 +160,7 @@ def decode(token: str, model: np.ndarray) -> str:
             for letters, cost in column:
                 now, s = h, score - cost
                 for c in letters:
-                    k = 0 if c == " " else ord(c) - 96
+                    k = symbol_of(c)
                     s += item(now * SYMBOLS + k)
                     now = now * SYMBOLS % SYMBOLS**3 + k if k else 0
                 if now not in after or after[now][0] < s:
@@ -182,7 +183,8 @@ class Restorer:
         """(words, whether decoding changed the token) of a lower-case token."""
         got = self.known.get(raw)
         if got is None:
-            core = DECOR.sub("", fold(raw.strip(STRIP))).strip(STRIP)
+            plain = raw if raw.isascii() else unicodedata.normalize("NFC", raw)
+            core = DECOR.sub("", plain.strip(STRIP)).strip(STRIP)
             if not any(map(str.isalpha, core)):
                 got = (), False
             elif core.isalpha() and not TWICE.search(core):
@@ -216,7 +218,10 @@ def words_of(text: str, restorer: Restorer) -> tuple[set[str], int]:
 
 
 def learn(sample: list[tuple[set[str], int]], toxic_share: float) -> dict[str, float]:
-    """Feature -> precision from (words, toxic) documents. Features are words, and beginnings written 'begin-'."""
+    """Feature -> precision from (words, toxic) documents.
+
+    Features are words, and 'begin-k': at least k distinct words with that beginning, none of them a feature itself.
+    """
     if not sample or not any(t for _, t in sample):
         return {}
     marks = [min((crc32(w.encode()) for w in words), default=0) for words, _ in sample]
@@ -228,10 +233,14 @@ def learn(sample: list[tuple[set[str], int]], toxic_share: float) -> dict[str, f
     for cut in (None, *PREFIXES):
         seen: dict[str, tuple[set, set]] = defaultdict(lambda: (set(), set()))
         for m, (words, toxic) in zip(marks, sample):
-            for w in words:
-                if len(w) < (cut or 3) or match(w, found):
-                    continue
-                seen[w if cut is None else w[:cut] + "-"][toxic].add(m)
+            rest = [w for w in words if len(w) >= (cut or 3) and w not in found]
+            if cut is None:
+                features = rest
+            else:
+                rest = [w for w in rest if not any(f"{w[:c]}-1" in found for c in PREFIXES)]
+                features = [f"{b}-{k}" for b, n in Counter(w[:cut] for w in rest).items() for k in range(1, min(n, MOST) + 1)]
+            for f in features:
+                seen[f][toxic].add(m)
         for feature, (clean, toxic) in seen.items():
             if len(toxic) >= least:
                 a, b = len(toxic) / distinct[1] * odds, len(clean) / max(1, distinct[0])
@@ -241,13 +250,38 @@ def learn(sample: list[tuple[set[str], int]], toxic_share: float) -> dict[str, f
     return found
 
 
-def match(word: str, lexicon: dict[str, float]) -> float:
-    """Precision of a word's best feature, 0 without one."""
-    best = lexicon.get(word, 0.0)
-    for cut in PREFIXES:
-        if len(word) >= cut and (p := lexicon.get(word[:cut] + "-", 0.0)) > best:
-            best = p
-    return best
+class Lexicon:
+    """Evidence of toxicity in a set of words; what it finds out about a word is kept."""
+
+    def __init__(self, features: dict[str, float]):
+        self.features, self.known = features, {}
+        self.begins = {f.rpartition("-")[0] for f in features if "-" in f}
+
+    def evidence(self, words: set[str]) -> tuple[float, list[str]]:
+        """(probability that a match means toxicity, matching words)."""
+        alone, begun = [], defaultdict(list)
+        for w in words:
+            hit = self.known.get(w)
+            if hit is None:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                hit = self.known[w] = self.features.get(w) or [w[:c] for c in PREFIXES if len(w) >= c and w[:c] in self.begins]
+            if isinstance(hit, float):
+                alone.append((w, hit))
+            else:
+                for b in hit:
+                    begun[b].append(w)
+        stems: dict[str, float] = {}
+        hits = {w for w, _ in alone}
+        for b, ws in begun.items():
+            p = max((self.features.get(f"{b}-{k}", 0.0) for k in range(1, min(len(ws), MOST) + 1)), default=0.0)
+            if p:
+                hits.update(ws)
+                stems[b[: PREFIXES[-1]]] = max(p, stems.get(b[: PREFIXES[-1]], 0.0))  # nested beginnings count once
+        clean = 1.0
+        for p in [p for _, p in sorted(alone)] + [p for _, p in sorted(stems.items())]:
+            clean *= 1 - p
+        return (1 - clean if hits else 0.0), sorted(hits)
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, dict[str, float]]:
@@ -260,27 +294,16 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[n
 
 
 class Judge:
-    """Scores texts; what it learns about words is kept for the next text."""
+    """Scores texts; what it learns about tokens is kept for the next text."""
 
-    def __init__(self, model: np.ndarray, lexicon: dict[str, float]):
-        self.restorer, self.lexicon, self.known = Restorer(model), lexicon, {}
+    def __init__(self, model: np.ndarray, features: dict[str, float]):
+        self.restorer, self.lexicon = Restorer(model), Lexicon(features)
 
     def score(self, text: str) -> tuple[float, int, list[str]]:
         """(score, tokens that decoding changed, matching words)."""
         words, changed = words_of(text, self.restorer)
-        got = []
-        for w in words:
-            p = self.known.get(w)
-            if p is None:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                p = self.known[w] = match(w, self.lexicon)
-            if p:
-                got.append((w, p))
-        clean = 1.0
-        for _, p in sorted(got):
-            clean *= 1 - p
-        return (1 - clean if got else 0.0), changed, sorted(w for w, _ in got)
+        score, hits = self.lexicon.evidence(words)
+        return score, changed, hits
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
