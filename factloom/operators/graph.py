@@ -68,16 +68,15 @@ def strongly_connected(nodes: DataFrame, pairs: DataFrame, max_rounds: int = MAX
     done = None
     for _ in range(max_rounds):
         # trim until every remaining edge is between nodes that have both directions
-        while True:
-            n = left.count()
-            if not n:
-                break
+        n = left.count()
+        while n:
             heads, tails = left.select(F.col("caller").alias("x")).distinct(), left.select(F.col("callee").alias("x")).distinct()
             core = heads.intersect(tails)
             left = shared_table(left.join(core.withColumnRenamed("x", "caller"), "caller", "left_semi").join(core.withColumnRenamed("x", "callee"), "callee", "left_semi"), "scc-edges")
-            if left.count() == n:
+            before, n = n, left.count()
+            if before == n:
                 break
-        if left.isEmpty():
+        if not n:
             break
         colour = shared_table(left.select(F.col("caller").alias("id")).union(left.select("callee")).distinct().withColumn("colour", F.col("id")), "scc-colour")
         for _ in range(max_rounds):
@@ -132,6 +131,7 @@ def condensation(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
     scc is 'scc:N' in that order for components of several members, else null.
     """
+    nodes, pairs = shared_table(nodes.select("id").distinct(), "nodes"), shared_table(pairs.select("caller", "callee").distinct(), "pairs")
     comp = shared_table(strongly_connected(nodes, pairs), "components")
     lifted = pairs.join(comp.select(F.col("id").alias("caller"), F.col("component").alias("a")), "caller").join(comp.select(F.col("id").alias("callee"), F.col("component").alias("b")), "callee")
     level = layers(comp.select(F.col("component").alias("id")), lifted.filter("a <> b").select(F.col("a").alias("caller"), F.col("b").alias("callee")))
@@ -169,6 +169,7 @@ def file_edges(definitions: DataFrame, edges: DataFrame) -> DataFrame:
 
 def symbol_table(definitions: DataFrame, edges: DataFrame, summaries: DataFrame, transitive: bool = False) -> DataFrame:
     """The graph's symbols with degrees, effects, packages and cycle ids."""
+    edges = shared_table(edges, "graph-edges")
     nodes = shared_table(graph_nodes(definitions, edges), "graph-nodes")
     effects = summaries.groupBy(F.col("symbol").alias("id")).agg(_sorted_set("effect").alias("effect_roots"))
     internal = nodes.filter("NOT external")

@@ -89,6 +89,7 @@ def plan_groups(files: DataFrame, file_edges: DataFrame, max_group_loc: int = MA
     files(path, loc, symbol_count, effect_roots, external_packages), file_edges(from, to, has_unknown).
     """
     spark = files.sparkSession
+    files, file_edges = shared_table(files, "plan-files"), shared_table(file_edges, "plan-edges")
     group_of = shared_table(initial_groups(files, file_edges), "plan-groups")
     if coalesce:
         rows = group_of.join(files.select("path", "loc"), "path").select("path", "group", "is_cycle", "loc").collect()  # one row per file
