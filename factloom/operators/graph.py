@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -126,19 +127,77 @@ def layers(nodes: DataFrame, pairs: DataFrame, max_rounds: int = MAX_ROUNDS) ->
     raise RuntimeError(f"more than {max_rounds} layers")
 
 
-def condensation(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, component, size, scc, level, place): dependencies first by (level, smallest member, id).
+#: Up to so many edges one task finds components and levels (a few MB); beyond, the distributed rounds do.
+SMALL_EDGES = 200_000
+
+
+def condense_local(pairs: list[tuple[str, str]]) -> list[tuple[str, str, int]]:
+    """(id, component, level) of all ends of the pairs, by Tarjan's algorithm without recursion."""
+    out: dict[str, list[str]] = {}
+    for a, b in pairs:
+        out.setdefault(a, []).append(b)
+        out.setdefault(b, [])
+    index: dict[str, int] = {}
+    low: dict[str, int] = {}
+    of: dict[str, str] = {}
+    level: dict[str, int] = {}
+    stack: list[str] = []
+    for root in sorted(out):
+        if root in index:
+            continue
+        todo = [(root, iter(out[root]))]
+        index[root] = low[root] = len(index)
+        stack.append(root)
+        while todo:
+            x, rest = todo[-1]
+            for y in rest:
+                if y not in index:
+                    index[y] = low[y] = len(index)
+                    stack.append(y)
+                    todo.append((y, iter(out[y])))
+                    break
+                if y not in of:
+                    low[x] = min(low[x], index[y])
+            else:
+                todo.pop()
+                if todo:
+                    low[todo[-1][0]] = min(low[todo[-1][0]], low[x])
+                if low[x] == index[x]:  # x closes a component; what it depends on is closed already
+                    at = stack.index(x) if len(stack) < 64 else len(stack) - 1 - stack[::-1].index(x)
+                    members, stack[at:] = stack[at:], []
+                    name = min(members)
+                    of.update(dict.fromkeys(members, name))
+                    level[name] = max((level[of[y]] + 1 for m in members for y in out[m] if of[y] != name), default=0)
+    return [(x, c, level[c]) for x, c in of.items()]
+
+
+def _levels(nodes: DataFrame, pairs: DataFrame, small_edges: int) -> DataFrame:
+    """(id, component, level) of every node."""
+    if pairs.count() <= small_edges:
+
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame(condense_local(list(zip(frame["caller"], frame["callee"]))), columns=["id", "component", "level"])
+
+        found = pairs.filter("caller <> callee").withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, "id string, component string, level int")
+        met = nodes.join(found, "id", "left")
+        return met.select("id", F.coalesce("component", "id").alias("component"), F.coalesce("level", F.lit(0)).alias("level"))
+    comp = shared_table(strongly_connected(nodes, pairs), "components")
+    lifted = pairs.join(comp.select(F.col("id").alias("caller"), F.col("component").alias("a")), "caller").join(comp.select(F.col("id").alias("callee"), F.col("component").alias("b")), "callee")
+    level = layers(comp.select(F.col("component").alias("id")), lifted.filter("a <> b").select(F.col("a").alias("caller"), F.col("b").alias("callee")))
+    return comp.join(level.select(F.col("id").alias("component"), F.col("wave").alias("level")), "component")
+
+
+def condensation(nodes: DataFrame, pairs: DataFrame, small_edges: int = SMALL_EDGES) -> DataFrame:
+    """(id, component, size, scc, level): dependencies first by (level, smallest member, id).
 
     scc is 'scc:N' in that order for components of several members, else null.
     """
     nodes, pairs = shared_table(nodes.select("id").distinct(), "nodes"), shared_table(pairs.select("caller", "callee").distinct(), "pairs")
-    comp = shared_table(strongly_connected(nodes, pairs), "components")
-    lifted = pairs.join(comp.select(F.col("id").alias("caller"), F.col("component").alias("a")), "caller").join(comp.select(F.col("id").alias("callee"), F.col("component").alias("b")), "callee")
-    level = layers(comp.select(F.col("component").alias("id")), lifted.filter("a <> b").select(F.col("a").alias("caller"), F.col("b").alias("callee")))
-    sized = comp.groupBy("component").agg(F.count("*").alias("size")).join(level.select(F.col("id").alias("component"), F.col("wave").alias("level")), "component")
+    comp = shared_table(_levels(nodes, pairs, small_edges), "components")
+    sized = comp.groupBy("component").agg(F.count("*").alias("size"), F.first("level").alias("level"))
     # numbered per component of several members: few rows
     named = sized.filter("size > 1").withColumn("n", F.row_number().over(W.orderBy("level", "component")) - 1).select("component", F.concat(F.lit("scc:"), F.col("n").cast("string")).alias("scc"))
-    return comp.join(sized, "component").join(named, "component", "left").select("id", "component", "size", "scc", "level")
+    return comp.select("id", "component").join(sized, "component").join(named, "component", "left").select("id", "component", "size", "scc", "level")
 
 
 def topological_order(condensed: DataFrame) -> DataFrame:

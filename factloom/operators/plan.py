@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from factloom.operators.graph import condensation, layers
+from factloom.operators.graph import condensation
 from factloom.storage import shared_table
 
 MAX_GROUP_LOC = 200
@@ -98,7 +98,7 @@ def plan_groups(files: DataFrame, file_edges: DataFrame, max_group_loc: int = MA
         merged = spark.createDataFrame(sorted(to.items()), "path string, group string") if to else group_of.select("path", "group")
         group_of = shared_table(group_of.select("path", "is_cycle").join(merged, "path"), "plan-groups")
     links = shared_table(group_links(file_edges, group_of), "plan-links")
-    waves = layers(group_of.select(F.col("group").alias("id")), links)
+    waves = condensation(group_of.select(F.col("group").alias("id")), links).select("id", F.col("level").alias("wave"))  # the groups have no cycles left
     # numbered by (wave, smallest path); a group's name is its smallest path; one row per group
     numbered = shared_table(waves.withColumn("number", F.row_number().over(W.orderBy("wave", "id")) - 1).withColumnRenamed("id", "group"), "plan-numbers")
     near = lambda a, b: links.join(numbered.select(F.col("group").alias(b), F.col("number").alias("n")), b).groupBy(F.col(a).alias("group")).agg(F.sort_array(F.collect_set("n")).alias("ns"))

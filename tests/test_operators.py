@@ -49,6 +49,7 @@ def test_random_graphs(spark, seed):
         together = {a} | {b for b in reach.get(a, ()) if a in reach.get(b, ())}
         assert comp[a] == min(together)
     cond = graph.condensation(nodes, table).collect()
+    assert sorted(map(str, cond)) == sorted(map(str, graph.condensation(nodes, table, small_edges=0).collect()))
     level = {x["id"]: x["level"] for x in cond}
     assert all(level[a] > level[b] for a, b in pairs if comp[a] != comp[b])
     order = [x["component"] for x in graph.topological_order(graph.condensation(nodes, table)).collect()]
