@@ -12,12 +12,12 @@ from factloom.views import ctes, frame
 
 RULES = NamingRules(target_src_prefix=("crates/port/src", "crates/aux/src"))
 
-SOURCE = """SELECT id, concat('src/', b, '/size-', s, '.ts') AS file, false AS external, k FROM (SELECT *, concat('src/', b, '/size-', s, '#', CASE k % 6 WHEN 0 THEN concat('loadItem', k % 60) WHEN 1 THEN concat('BrandModel', k % 40)
+SOURCE = """SELECT id, min(file) AS file, false AS external, min(k) AS k FROM (SELECT id, concat('src/', b, '/size-', s, '.ts') AS file, false AS external, k FROM (SELECT *, concat('src/', b, '/size-', s, '#', CASE k % 6 WHEN 0 THEN concat('loadItem', k % 60) WHEN 1 THEN concat('BrandModel', k % 40)
     WHEN 2 THEN concat('MAX_SIZE_', k % 50) WHEN 3 THEN concat('Store.fetchAll', k % 30) WHEN 4 THEN concat('parseHTMLDoc', k % 70) ELSE concat('cb@', k) END) AS id
-  FROM (SELECT p_partkey AS k, lower(replace(p_brand, '#', '-')) AS b, p_size % 6 AS s FROM {part}) p) q"""
-TARGET = """SELECT CASE WHEN k % 11 = 0 THEN concat('<', b, ' as Port>::', leaf) ELSE concat(m, '::', b, '::', leaf) END AS id, concat('crates/', m, '/src/', b, '/size_', s, '.rs') AS file, false AS external, k FROM (
+  FROM (SELECT p_partkey AS k, lower(replace(p_brand, '#', '-')) AS b, p_size % 6 AS s FROM {part}) p) q) u GROUP BY id"""
+TARGET = """SELECT id, min(file) AS file, false AS external, min(k) AS k FROM (SELECT CASE WHEN k % 11 = 0 THEN concat('<', b, ' as Port>::', leaf) ELSE concat(m, '::', b, '::', leaf) END AS id, concat('crates/', m, '/src/', b, '/size_', s, '.rs') AS file, false AS external, k FROM (
   SELECT *, CASE k % 6 WHEN 0 THEN concat('load_item', k % 60) WHEN 1 THEN concat('BrandModel', k % 40) WHEN 2 THEN concat('MAX_SIZE_', k % 50) WHEN 3 THEN concat('fetch_all', k % 30) WHEN 4 THEN concat('parse_html_doc', k % 70) ELSE concat(chr(123), 'closure#', k, chr(125)) END AS leaf,
-    CASE WHEN k % 13 < 9 THEN 'port' ELSE 'aux' END AS m FROM (SELECT p_partkey AS k, lower(replace(replace(p_brand, '#', '_'), '4', '3')) AS b, (p_size + CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 0 END) % 5 AS s FROM {part} WHERE p_partkey % 3 <> 0) p) q"""
+    CASE WHEN k % 13 < 9 THEN 'port' ELSE 'aux' END AS m FROM (SELECT p_partkey AS k, lower(replace(replace(p_brand, '#', '_'), '4', '3')) AS b, (p_size + CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 0 END) % 5 AS s FROM {part} WHERE p_partkey % 3 <> 0) p) q) u GROUP BY id"""
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
