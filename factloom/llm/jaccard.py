@@ -173,9 +173,11 @@ def _links(threshold: float):
     """Edges between documents that share a prefix token and may still be similar by the token's places.
 
     If a pair's first common token leaves r and s tokens (itself included) to sets of sizes a and b, they have at most
-    min(r, s) tokens in common and need t / (1 + t) * (a + b).  So r limits the size of a partner ("reach").  Documents
-    that reach their own size are linked in a chain by size, which connects all that may pair; each other document is
-    linked to those of the chain that it may pair with.
+    min(r, s) tokens in common and need t / (1 + t) * (a + b).  So r limits the size of a partner ("reach").  Of the
+    documents that reach their own size, by size, each is linked to the earlier one that admits the largest partner, if
+    it admits this one.  That connects all of them that may pair: what an earlier x admits is admitted by the widest one
+    too, and so is x itself or, if the widest comes after x, that one by x or by a still earlier one.  Each other
+    document is linked to those of them that it may pair with.
     """
     share = threshold / (1 + threshold)
 
@@ -200,10 +202,17 @@ def _links(threshold: float):
             e = np.stack((np.minimum(key[x], key[y]), np.maximum(key[x], key[y])), 1)
             edges.append(e[e[:, 0] != e[:, 1]])
 
-        x, y = good[:-1], good[1:]
-        chained = (gram[x] == gram[y]) & (size[y] <= most[x])
-        link(x[chained], y[chained])
-        # the others, each with the chain's members of sizes threshold * size to its reach, in the same list
+        # running maximum of (list, rank of most): the lists come in order, so each starts anew
+        fresh = np.ones(len(good), np.int64)
+        fresh[1:] = gram[good[1:]] != gram[good[:-1]]
+        widest = np.argsort(most[good], kind="stable")
+        rank = np.empty(len(good), np.int64)
+        rank[widest] = np.arange(len(good))
+        so_far = np.maximum.accumulate(np.cumsum(fresh) * len(good) + rank)[:-1]
+        x, y = good[widest[so_far % max(1, len(good))]], good[1:]
+        admitted = (gram[x] == gram[y]) & (size[y] <= most[x])
+        link(x[admitted], y[admitted])
+        # the others, each with the good ones of sizes threshold * size to its reach, in the same list
         other = np.flatnonzero(reach < size)
         place = np.cumsum(np.concatenate(([0], (reach >= size).astype(np.int64))))  # good ones before an entry
         at = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))

@@ -7,6 +7,7 @@ import io
 import random
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -107,6 +108,43 @@ def test_jaccard_is_exact_however_it_is_cut(spark):
         assert {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in got} == want and len(got) == len(want)
 
 
+def test_jaccard_links_past_a_document_of_short_reach(spark):
+    """x and z reach each other, z and y don't, x and y have exactly half of their grams in common."""
+    passage, often = [f"p{i}" for i in range(22)], [f"c{i}" for i in range(4)]
+    own = lambda k, n: [f"{k}own{i}" for i in range(n)]
+    texts = {1: passage + own("x", 8), 2: passage + own("z", 10), 3: own("y", 8) + passage + often}
+    texts |= {10 + k: often + own(f"other{k}", 30) for k in range(40)}
+    got = jaccard.similar_pairs(spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id bigint, text string")).collect()
+    assert {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in got} == {(1, 2): 20 / 38, (1, 3): 0.5}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_links_connect_all_that_may_pair(seed):
+    r = np.random.default_rng(seed)
+    share = 0.5 / 1.5
+    for _ in range(100):
+        n, lists = int(r.integers(2, 12)), int(r.integers(1, 4))
+        size = r.integers(20, 60, n)
+        place = [np.sort(r.choice(n, int(r.integers(1, n + 1)), replace=False)) for _ in range(lists)]
+        left = [np.array([r.integers(size[d] // 2, size[d] + 1) for d in p]) for p in place]
+        frame = pd.DataFrame([{"keys": np.arange(n).tobytes(), "sizes": grams.squeeze(size.astype(np.uint32)), "place": grams.squeeze(p.astype(np.uint32)), "grams": grams.ascending(np.full(len(p), g, np.uint64)), "remaining": grams.squeeze(m.astype(np.uint32))} for g, (p, m) in enumerate(zip(place, left))])
+        top = list(range(n))
+
+        def find(k: int) -> int:
+            while top[k] != k:
+                k = top[k]
+            return k
+
+        for e in jaccard._links(0.5)(frame).itertuples():
+            top[find(e.a)] = find(e.b)
+        for p, m in zip(place, left):
+            for i in range(len(p)):
+                for j in range(i):
+                    a, b = size[p[i]], size[p[j]]
+                    if min(m[i], m[j]) >= share * (a + b) and max(a, b) <= 2 * min(a, b):
+                        assert find(int(p[i])) == find(int(p[j]))
+
+
 def test_fingerprints(spark):
     docs = table(spark, SF, "documents")
     prints = {r["doc_id"]: r[1:] for r in fingerprints.fingerprints(docs).collect() if len(r["signature"]) >= 7}
