@@ -13,15 +13,17 @@ document only is dropped before signatures travel; in the lists that remain, an
 (a matrix product of letter counts) precedes the exact bit-parallel one.  Equal fingerprints are collapsed first, so a
 group of exact copies is one entry everywhere.  No list and no partner is capped.
 
-Defined cases: null and empty texts have no fingerprint and no row; a fingerprint with fewer than seven characters has
-no partners; a null id keeps its fingerprint but has no partners; repeated rows count once in pairs and a document never
-pairs with itself; texts that differ but have equal fingerprints score 100 like copies; an empty table gives empty
+Defined cases: null and empty texts have no fingerprint and no row; a signature with fewer than seven characters has no
+near partners, and where both of a fingerprint are that short, equal texts (by a hash) are its partners in
+similar_documents() and none in similar_fingerprints(); a null id keeps its fingerprint but has no partners; repeated rows count once in pairs and a document never
+pairs with itself; other texts that differ but have equal fingerprints score 100 like copies; an empty table gives empty
 results; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -108,8 +110,17 @@ def signatures(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, str, str
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, block_size, signature, signature2) of every document with text."""
+def _copy(text: np.ndarray) -> int:
+    return int.from_bytes(blake2b(text, digest_size=8).digest(), "little", signed=True)
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", copies: bool = False) -> DataFrame:
+    """(doc_id, block_size, signature, signature2) of every document with text.
+
+    With `copies` also copy: a 64-bit hash of the text where both signatures have fewer than seven letters, else 0.
+    """
+    names = ["doc_id", "block_size", "signature", "signature2", *["copy"] * copies]
+    kinds = (pa.int64(), pa.string(), pa.string(), *[pa.int64()] * copies)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,14 +128,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             got, a = [], 0
             while a < len(batch):  # about a megabyte at a time
                 b = min(len(batch), max(a + 1, int(np.searchsorted(offsets, offsets[a] + (1 << 20)))))
-                got += signatures(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                made = signatures(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                if copies:
+                    made = [g and (*g, _copy(raw[offsets[i] : offsets[i + 1]]) if max(len(g[1]), len(g[2])) < GRAM else 0) for i, g in enumerate(made, a)]
+                got += made
                 a = b
             keep = pa.array([g is not None for g in got], pa.bool_())
             got = [g for g in got if g]
-            columns = [pa.array(c, t) for c, t in zip(zip(*got) if got else ((), (), ()), (pa.int64(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), *columns], names=["doc_id", "block_size", "signature", "signature2"])
+            columns = [pa.array(c, t) for c, t in zip(zip(*got) if got else [()] * len(kinds), kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), *columns], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA + ", copy bigint" * copies)
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -266,9 +280,19 @@ def _compare(min_score: int):
 
 
 def similar_fingerprints(docs: DataFrame, min_score: int = MIN_SCORE, bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
-    """All pairs doc_a < doc_b whose fingerprints score min_score (1 to 100) or more: (doc_a, doc_b, score)."""
-    prints = shared_table(fingerprints(docs).filter("doc_id IS NOT NULL AND length(signature) >= 7"), "fingerprints")
-    same = ["block_size", "signature", "signature2"]
+    """All pairs doc_a < doc_b with signatures of seven letters or more that score min_score (1 to 100) or more: (doc_a, doc_b, score)."""
+    return _pairs(fingerprints(docs).filter("doc_id IS NOT NULL AND length(signature) >= 7"), ["block_size", "signature", "signature2"], min_score, bucket_entries)
+
+
+def similar_documents(docs: DataFrame, min_score: int = MIN_SCORE, bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
+    """similar_fingerprints(), and copies of the texts whose signatures are too short for it."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
+    return _pairs(fingerprints(keyed, copies=True), ["block_size", "signature", "signature2", "copy"], min_score, bucket_entries)
+
+
+def _pairs(prints: DataFrame, same: list[str], min_score: int, bucket_entries: int) -> DataFrame:
+    """Pairs of fingerprints; those that are equal in the columns `same` are copies."""
+    prints = shared_table(prints, "fingerprints")
     reps = prints.groupBy(*same).agg(F.min("doc_id").alias("doc"), F.xxhash64(*same).alias("rep"))
     reps = shared_table(reps.select("rep", *same), "fingerprint-reps")
     levels = F.array(F.struct(F.col("block_size").alias("level"), F.col("signature").alias("text")), F.struct((F.col("block_size") * 2).alias("level"), F.col("signature2").alias("text")))

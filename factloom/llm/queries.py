@@ -27,7 +27,7 @@ def op4_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.similar_fingerprints(table(spark, sf_dir, "documents"))
+    return fingerprints.similar_documents(table(spark, sf_dir, "documents"))
 
 
 def op6_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:

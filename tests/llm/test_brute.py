@@ -164,6 +164,21 @@ def test_fingerprints(spark):
         assert {(r["doc_a"], r["doc_b"]): r["score"] for r in got} == want and len(got) == len(want)
 
 
+def test_copies_with_short_signatures(spark):
+    """The query's pairs are those of the signatures and every pair of equal texts, however short or repetitive."""
+    same = {1: "Oure " * 1800, 2: "Oure " * 1800, 3: "one", 4: "one", 5: "two", 6: "Oure " * 1801, 7: "one"}
+    docs = spark.createDataFrame(list(same.items()), "doc_id bigint, text string")
+    got = fingerprints.similar_documents(docs).collect()
+    assert sorted((r["doc_a"], r["doc_b"], r["score"]) for r in got) == [(1, 2, 100), (3, 4, 100), (3, 7, 100), (4, 7, 100)]
+    docs = table(spark, SF, "documents")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect() if r["text"]}
+    ids = sorted(texts)
+    want = {(r["doc_a"], r["doc_b"]): r["score"] for r in fingerprints.similar_fingerprints(docs).collect()}
+    more = {(a, b): 100 for i, a in enumerate(ids) for b in ids[i + 1 :] if texts[a] == texts[b]}
+    got = queries.op5_fingerprints(spark, SF).collect()
+    assert {(r["doc_a"], r["doc_b"]): r["score"] for r in got} == want | more and len(got) == len(want | more) > len(want)
+
+
 def test_fingerprint_survives_local_edits():
     text = " ".join(f"word{random.Random(5).randint(0, 9)}{i * 7919 % 1000}" for i in range(600))
     edited = text[:2000] + " inserted " + text[2000:]
