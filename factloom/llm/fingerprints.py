@@ -5,8 +5,9 @@ the nearby bytes only and an edit changes one or two chunks; each chunk gives on
 smallest with at most 64 expected chunks, halved while it finds fewer than 32, and a second signature has twice that
 size; whatever follows the 63rd cut is the last chunk, so all of the text counts.  Two fingerprints are compared where
 they have a signature of the same block size: score = 100 * (1 - edit distance / sum of lengths), with insertions and
-deletions at 1 and changes at 2, limited for tiny blocks (a few characters over a few bytes prove little); a pair
-needs a common run of seven characters.
+deletions at 1 and changes at 2; a pair needs a common run of seven characters.  similar_fingerprints() also limits the
+score for tiny blocks, to block size / 3 * the shorter length, so texts of up to about 192 bytes can't reach MIN_SCORE
+there; similar_documents() doesn't, since the common run alone is 42 bits of evidence, and so finds their near copies.
 
 That last rule is the index: documents meet only in buckets of (block size, seven characters).  What occurs in one
 document only is dropped before signatures travel; in the lists that remain, an upper bound of the common subsequence
@@ -234,12 +235,12 @@ def common_subsequence(masks: np.ndarray, size: np.ndarray, codes: np.ndarray, x
     return np.bitwise_count(~v & low).astype(np.int64)
 
 
-def score_of(common: np.ndarray, a: np.ndarray, b: np.ndarray, level: np.ndarray) -> np.ndarray:
-    both = a + b
-    return np.minimum(200 * common // both, level // 3 * np.minimum(a, b))
+def score_of(common: np.ndarray, a: np.ndarray, b: np.ndarray, level: np.ndarray, limited: bool = True) -> np.ndarray:
+    score = 200 * common // (a + b)
+    return np.minimum(score, level // 3 * np.minimum(a, b)) if limited else score
 
 
-def _compare(min_score: int):
+def _compare(min_score: int, limited: bool):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["gram", "rep", "level"], kind="stable")
         texts, entry = np.unique(frame["text"].to_numpy(dtype=object), return_inverse=True)
@@ -268,7 +269,7 @@ def _compare(min_score: int):
                     i, j = a + i[keep], b + j[keep]
                     for s in range(0, len(i), 1 << 18):
                         p, q = i[s : s + (1 << 18)], j[s : s + (1 << 18)]
-                        score = score_of(common_subsequence(masks, size, codes, e[p], e[q]), size[e[p]], size[e[q]], l[p])
+                        score = score_of(common_subsequence(masks, size, codes, e[p], e[q]), size[e[p]], size[e[q]], l[p], limited)
                         hit = score >= min_score
                         p, q = r[p[hit]], r[q[hit]]
                         out.append(pd.DataFrame({"rep_a": np.minimum(p, q), "rep_b": np.maximum(p, q), "score": score[hit]}))
@@ -281,16 +282,16 @@ def _compare(min_score: int):
 
 def similar_fingerprints(docs: DataFrame, min_score: int = MIN_SCORE, bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
     """All pairs doc_a < doc_b with signatures of seven letters or more that score min_score (1 to 100) or more: (doc_a, doc_b, score)."""
-    return _pairs(fingerprints(docs).filter("doc_id IS NOT NULL AND length(signature) >= 7"), ["block_size", "signature", "signature2"], min_score, bucket_entries)
+    return _pairs(fingerprints(docs).filter("doc_id IS NOT NULL AND length(signature) >= 7"), ["block_size", "signature", "signature2"], min_score, bucket_entries, limited=True)
 
 
 def similar_documents(docs: DataFrame, min_score: int = MIN_SCORE, bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
-    """similar_fingerprints(), and copies of the texts whose signatures are too short for it."""
+    """similar_fingerprints() without the limit for tiny blocks, and copies of the texts whose signatures are too short for it."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
-    return _pairs(fingerprints(keyed, copies=True), ["block_size", "signature", "signature2", "copy"], min_score, bucket_entries)
+    return _pairs(fingerprints(keyed, copies=True), ["block_size", "signature", "signature2", "copy"], min_score, bucket_entries, limited=False)
 
 
-def _pairs(prints: DataFrame, same: list[str], min_score: int, bucket_entries: int) -> DataFrame:
+def _pairs(prints: DataFrame, same: list[str], min_score: int, bucket_entries: int, limited: bool) -> DataFrame:
     """Pairs of fingerprints; those that are equal in the columns `same` are copies."""
     prints = shared_table(prints, "fingerprints")
     reps = prints.groupBy(*same).agg(F.min("doc_id").alias("doc"), F.xxhash64(*same).alias("rep"))
@@ -301,7 +302,7 @@ def _pairs(prints: DataFrame, same: list[str], min_score: int, bucket_entries: i
     shared = levels.mapInArrow(_entries(buckets), ENTRIES).groupBy("bucket").applyInPandas(_shared, "home bigint, keys binary, place binary, reps binary, levels binary, texts binary")
     met = shared.groupBy("home").applyInPandas(_at_home, "gram bigint, rep bigint, level bigint, text string")
     met = met.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(4 * buckets))).repartition(4 * buckets, "bucket")
-    found = met.groupBy("bucket").applyInPandas(_compare(min_score), "rep_a bigint, rep_b bigint, score bigint").groupBy("rep_a", "rep_b").agg(F.max("score").alias("score"))
+    found = met.groupBy("bucket").applyInPandas(_compare(min_score, limited), "rep_a bigint, rep_b bigint, score bigint").groupBy("rep_a", "rep_b").agg(F.max("score").alias("score"))
     members = shared_table(prints.select("doc_id", F.xxhash64(*same).alias("rep")).distinct(), "fingerprint-members")
     one = small_side(members.select(F.col("doc_id").alias("x"), F.col("rep").alias("rep_a")))
     two = small_side(members.select(F.col("doc_id").alias("y"), F.col("rep").alias("rep_b")))

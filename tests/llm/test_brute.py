@@ -179,6 +179,33 @@ def test_copies_with_short_signatures(spark):
     assert {(r["doc_a"], r["doc_b"]): r["score"] for r in got} == want | more and len(got) == len(want | more) > len(want)
 
 
+def test_short_near_copies(spark):
+    """Short texts of invented words, some with the last, first or a middle word changed, against all pairs."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abdeghiklmnoprstu") for _ in range(r.randint(2, 9)))
+    texts = {1: "Ofthonreat ernterea thtieati thlyor thount ingedre, ble.", 2: "Ofthonreat ernterea thtieati thlyor thount ingedre, the."}
+    for k in range(10, 130, 2):
+        w = [word() for _ in range(r.randint(6, 24))]
+        texts[k] = " ".join(w)
+        w[r.choice([0, len(w) // 2, -1])] = word()
+        texts[k + 1] = " ".join(w)
+    prints = {}
+    for k, t in texts.items():
+        raw = np.frombuffer(t.encode(), np.uint8)
+        prints[k] = fingerprints.signatures(raw, np.array([0, len(raw)]))[0]
+    runs = lambda s: {s[i : i + 7] for i in range(len(s) - 6)}
+    want, ids = {}, sorted(texts)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            (la, x1, x2), (lb, y1, y2) = prints[a], prints[b]
+            scores = [200 * subsequence(x, y) // (len(x) + len(y)) for x, y, p, q in ((x1, y1, la, lb), (x1, y2, la, 2 * lb), (x2, y1, 2 * la, lb), (x2, y2, 2 * la, 2 * lb)) if p == q and runs(x) & runs(y)]
+            if max(scores, default=0) >= fingerprints.MIN_SCORE:
+                want[a, b] = max(scores)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    assert {(r["doc_a"], r["doc_b"]): r["score"] for r in fingerprints.similar_documents(docs).collect()} == want
+    assert (1, 2) in want and sum(b == a + 1 for a, b in want) > 40
+
+
 def test_fingerprint_survives_local_edits():
     text = " ".join(f"word{random.Random(5).randint(0, 9)}{i * 7919 % 1000}" for i in range(600))
     edited = text[:2000] + " inserted " + text[2000:]
