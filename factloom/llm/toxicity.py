@@ -50,7 +50,8 @@ SCHEMA = "doc_id bigint, score double, is_toxic boolean, n_restored int, hits ar
 
 LOOK_ALIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "*": "aeiou"}
 STRIP = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "@$|+") + "“”„‘’«»…¿¡–—"
-SPACED = re.compile(r"\s\w(?:[ \t]\w){2,}(?=\s)")
+SINGLE = rf"[\w{re.escape(''.join(c for c in LOOK_ALIKE if not c.isalnum()))}]"
+SPACED = re.compile(rf"\s[^\w\s]*{SINGLE}(?:\s+{SINGLE}){{2,}}[^\w\s]*(?=\s)")  # punctuation may stick to both ends
 TWICE = re.compile(r"(.)\1")
 RUNS = re.compile(r"(.)\1*", re.DOTALL)
 DECOR = re.compile(r"^([@$|+])\1\1+|([@$|+])\2\2+$")
@@ -199,8 +200,9 @@ class Restorer:
         return got
 
     def spaced(self, text: str) -> list[tuple[str, ...]]:
-        """Words read from runs of three or more single letters."""
-        return [self.token(m.group().strip())[0] for m in SPACED.finditer(f" {text} ")]
+        """Words read from runs of three or more single letters, digits and look-alikes; symbols alone are none."""
+        runs = (" ".join(m.group().split()) for m in SPACED.finditer(f" {text} "))
+        return [self.token(run)[0] for run in runs if any(map(str.isalnum, run))]
 
 
 def words_of(text: str, restorer: Restorer) -> tuple[set[str], int]:

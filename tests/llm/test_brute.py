@@ -279,6 +279,20 @@ def test_deobfuscation_and_scores(spark):
     assert scored.loc[range(90), "is_toxic"].sum() == 0 and scored.loc[range(90, 180), "is_toxic"].all()
 
 
+def test_spaced_words():
+    counts = np.zeros(toxicity.SYMBOLS**4, np.int64)
+    for w in ("idiot", "loser", "stupid", "ass", "you"):
+        counts += 50 * toxicity.gram_counts(toxicity.symbols(np.frombuffer(f"{w} ".encode(), np.uint8)))
+    restorer = toxicity.Restorer(toxicity.log_model(counts))
+    for text, word in [
+        ("you i d i o t.", "idiot"), ("you l o s e r!", "loser"), ("you $ t u p 1 d", "stupid"), ("you @ s s", "ass"), ("i  d  i  o  t", "idiot"), ("i\nd\ni\no\nt", "idiot"), ("(l o s e r)", "loser"), ("\"i d i o t\", you", "idiot"),
+        ("i d i o t?! you", "idiot"), ("an i d i o t indeed", "idiot"), ("l 0 s 3 r", "loser"), ("l o s e r, i d i o t.", "loser"), ("l o s e r, i d i o t.", "idiot"),
+    ]:
+        assert word in toxicity.words_of(text, restorer)[0], text
+    for text in ("* * *", "| | | |", "+ + +", "you * * * you"):
+        assert toxicity.words_of(text, restorer) == ({"you"} if "you" in text else set(), 0), text
+
+
 def test_decoding_is_the_best_path():
     counts = np.zeros(toxicity.SYMBOLS**4, np.int64)
     for w in ("idiot", "ideal", "loser", "lasso", "stupid"):
