@@ -44,7 +44,6 @@ PREFIXES = (7, 6, 5, 4)
 MOST = 4  # distinct words of one beginning that count
 CHANCE = np.log(1e-4)
 SYMBOLS = 27  # 0 is the word boundary, 1 to 26 are the letters
-BEAM = 16
 REMEMBERED = 400_000
 SCHEMA = "doc_id bigint, score double, is_toxic boolean, n_restored int, hits array<string>"
 
@@ -166,7 +165,7 @@ def decode(token: str, model: np.ndarray) -> str:
                     now = now * SYMBOLS % SYMBOLS**3 + k if k else 0
                 if now not in after or after[now][0] < s:
                     after[now] = (s, (path, letters))
-        states = after if len(after) <= BEAM else dict(sorted(after.items(), key=lambda x: -x[1][0])[:BEAM])
+        states = after  # all of them, at most SYMBOLS**3
     path, out = max(states.values(), key=lambda x: x[0])[1], []
     while path:
         path, letters = path

@@ -317,6 +317,31 @@ def test_decoding_is_the_best_path():
         assert toxicity.decode(token, model) == best[0].strip()
 
 
+def test_decoding_keeps_every_state():
+    """Heavily masked tokens against exhaustive search, by the score of the path."""
+    counts = np.zeros(toxicity.SYMBOLS**4, np.int64)
+    often = [f"{x}b{y}s" for x in "aeiou" for y in "aeiou" if x + y != "uu"]  # 24 beginnings that are likelier than the right one of *b*k
+    for w, n in [("idiot", 9), ("loser", 9), ("stupid", 9), ("ubuk", 3), *[(w, 100) for w in often]]:
+        counts += n * toxicity.gram_counts(toxicity.symbols(np.frombuffer(f"{w} ".encode(), np.uint8)))
+    model = toxicity.log_model(counts)
+
+    def cost(word: str) -> float:
+        h, total = 0, 0.0
+        for c in word + " ":
+            k = toxicity.symbol_of(c) if c != " " else 0
+            total += float(model[h * toxicity.SYMBOLS + k])
+            h = h * toxicity.SYMBOLS % toxicity.SYMBOLS**3 + k if k else 0
+        return total
+
+    for token in ("s*+*p!d", "1*6!", "*1*6*", "!6*1|*", "6*!1*5", "*b*k", "*8*k", "*6*k"):
+        paths = [("", 0.0)]
+        for column in toxicity.lattice(token):
+            paths = [(p + x, c + k) for p, c in paths for x, k in column]
+        best = max(paths, key=lambda p: cost(p[0]) - p[1])
+        assert toxicity.decode(token, model) == best[0].strip(), token
+    assert toxicity.decode("*b*k", model) == "ubuk"
+
+
 def test_quality_on_held_out_labels(spark):
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     train, held = labels.filter("doc_id % 3 <> 0"), labels.filter("doc_id % 3 = 0").toPandas().set_index("doc_id")
