@@ -3,7 +3,8 @@
 Alternating large-star and small-star steps (Kiveris et al., "Connected components in MapReduce and beyond"): every
 round rewires edges towards the smallest node seen, and the edge set becomes a forest of stars whose centres are the
 smallest nodes.  A round is two aggregations and two equi-joins; nothing is collected but one fingerprint of the edge
-set, and each round's edges are a table in the shared folder, so lineage stays short and executors may be lost.
+set, and each round's edges are a table in the shared folder (the last round's is deleted), so lineage stays short and
+executors may be lost.
 """
 
 from __future__ import annotations
@@ -11,9 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.storage import shared_table
-
-MAX_ROUNDS = 60
+from factloom.storage import forget, shared_table
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -29,19 +28,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of all nodes with an edge to another node; component is the smallest node of the component.
 
     Direction, repeated edges, self-loops and edges with a null end make no difference (the latter two are dropped).
-    Raises if `max_rounds` didn't suffice, so a result is never cut short.
+    Ends when a round changes nothing, however many it takes.
     """
     now = shared_table(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct(), "edges")
     mark = None
-    for _ in range(max_rounds):
-        now = shared_table(_star(_star(now, True), False), "stars")
+    while True:
+        before, now = now, shared_table(_star(_star(now, True), False), "stars")
+        forget(before)
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if seen == mark:
             centres = now.select(F.col("b").alias("node")).distinct()
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(centres.select("node", F.col("node").alias("component")))
         mark = seen
-    raise RuntimeError(f"components did not settle within {max_rounds} rounds")
