@@ -4,30 +4,35 @@ A document is the set of its word n-grams.  Two sets of sizes a, b with Jaccard
 p = a - ceil(t*a) + 1 and q = b - ceil(t*b) + 1 tokens under *every* total order of all tokens.  So a candidate must
 share a prefix token under each of ORDERS orders, and only the intersection of those filters is verified.
 
-Order 0 is rare-first over the whole corpus and drives the distributed part:
-
-1.  Every document's grams go to token buckets, packed as (fingerprint, document) arrays of a few bytes a gram; a
-    bucket knows which grams occur in more than one document.  A gram of one document can't match, so it stays home -
-    but it takes up a place at the front of its document's prefix, which empties the prefix of most documents.
-2.  What repeats returns to its document, which cuts its prefix; prefix tokens go to buckets again, and documents that
-    share one are linked if the tokens left behind it could still make them similar.  A linked component holds every
-    pair that passes the order-0 filter.
-3.  The texts of a component's documents meet in one task.  There equal sets are collapsed, the prefix filters of all
-    orders are computed and intersected, the survivors are verified exactly on 64-bit gram hashes, and collapsed copies
-    are expanded again.  A component of more than `block_rows` documents is cut into hashed blocks, and each pair of
-    blocks is a task, so no pair is lost and no task grows with the component.
-
-Everything is partitioned by hashed gram or document; nothing is broadcast but keys below a checked size.  There is no
-cap on how often a gram may occur or on partners.  The number of pairs of a group is quadratic in the group, being the
-result itself; `groups` gives the linear form.
-
-Documents are named on the way by their task, batch and place, so `docs` should be a table or another source that gives
-the same rows in the same order when a task is repeated.
-
-Defined cases: null, empty and blank texts have no grams and no partners; a text of fewer than n words is one gram; rows
-with a null id are ignored; repeated rows count once, and a document never pairs with itself, even if its id occurs
-with several texts (each of them is compared with other documents; the best similarity counts); an empty table gives an
-empty result; other columns are ignored.  Case is ignored, white space separates words.
+1.  Equal texts are collapsed: one of them goes on, with the number of its copies.
+2.  Order 0 is rare-first over the whole corpus.  Every text's grams go to token buckets, packed as (fingerprint, text)
+    arrays of a few bytes a gram; a bucket knows which grams occur in more than one text.  A gram of one text can't
+    match, so it stays home - but it takes up a place at the front of its text's prefix, which empties the prefix of
+    most texts.
+3.  What repeats returns to its text, which cuts its prefix; prefix tokens go to buckets again, and texts that share
+    one are linked if the tokens left behind it could still make them similar.  A linked component holds every pair
+    that passes the order-0 filter.
+4.  The texts of a component meet in one task.  A component of more than `block_rows` texts or BLOCK_CHARS characters is
+    cut into blocks, by the smallest prefix token so that similar texts are mostly in one, and a text goes to another
+    block only if it shares a prefix token with a text there: what travels follows the candidates, not the square of
+    the component.  In the task the prefix filters of all orders are computed and intersected, and the survivors are
+    verified exactly on 64-bit gram hashes.  A pair meets in exactly one task.
+
+Compressed texts are what travels: a gram set of 8 bytes a word would be about three times as large.  Everything is
+partitioned by hashed gram or text; nothing is broadcast but keys below a checked size.  There is no cap on how often a
+gram may occur or on partners.
+
+`classes` gives one row per document: its class, the number of documents it is linked to, and the best similarity;
+tasks sum links up as they find them, so a group costs rows in proportion to its documents.  `similar_pairs` expands
+copies into all pairs, whose number is quadratic in a group.
+
+Texts are named on the way by their task, batch and place, so they are written once before.
+
+Defined cases: a document is an id with a text, so repeated rows count once, and an id with several texts has a row for
+each of them, which are compared like those of other ids (similar_pairs() has no pair of an id with itself and the best
+similarity of two ids); null, empty and blank texts have no grams and no partners (a class of their own, 0 links, null
+similarity); a text of fewer than n words is one gram; rows with a null id are ignored; an empty table gives an empty
+result; other columns are ignored.  Case is ignored, white space separates words.
 """
 
 from __future__ import annotations
@@ -42,6 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.classes import key_classes
 from factloom.llm.common import partitions_for, small_side
 from factloom.llm.grams import ascending, from_ascending, gram_sets, mix64, squeeze, unsqueeze
 from factloom.operators.components import connected_components
@@ -52,7 +58,9 @@ THRESHOLD = 0.5
 ORDERS = 3
 BUCKET_GRAMS = 2_000_000
 BLOCK_ROWS = 2000
-PAIRS = "doc_a bigint, doc_b bigint, jaccard double"
+BLOCK_CHARS = 16_000_000
+PAIRS = "key_a bigint, key_b bigint, jaccard double"
+SUMS = "key bigint, other bigint, links bigint, best double"
 U = np.uint64
 
 
@@ -241,8 +249,15 @@ def _links(threshold: float):
     return run
 
 
-def _candidates(sets: list[np.ndarray], orders: list[np.ndarray], size: np.ndarray, threshold: float, vocabulary: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, candidates j > i): they share a prefix token under every order."""
+def _entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(gram, key) of packed prefix tokens."""
+    for frame in frames:
+        for r in frame.itertuples(index=False):
+            yield pd.DataFrame({"gram": from_ascending(r.grams, U).view(np.int64), "key": np.frombuffer(r.keys, np.int64)[unsqueeze(r.place, np.uint32)]})
+
+
+def _candidates(sets: list[np.ndarray], orders: list[np.ndarray], size: np.ndarray, side: np.ndarray, threshold: float, vocabulary: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, candidates j > i of the other side): they share a prefix token under every order. Side -1 is on either side."""
     prefix = prefix_length(size, threshold)
     filters = []
     for rank in orders:
@@ -254,6 +269,7 @@ def _candidates(sets: list[np.ndarray], orders: list[np.ndarray], size: np.ndarr
     for i in range(len(sets)):
         ok = size >= threshold * size[i] - 1e-9
         ok &= size[i] >= threshold * size - 1e-9
+        ok &= (side != side[i]) | (side < 0)
         ok[: i + 1] = False
         for heads, posting, at in filters:
             if not ok.any():
@@ -267,8 +283,8 @@ def _candidates(sets: list[np.ndarray], orders: list[np.ndarray], size: np.ndarr
             yield i, j
 
 
-def join_sets(sets: list[np.ndarray], threshold: float, orders: int = ORDERS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(i, partners j > i, their Jaccard similarities) over distinct, non-empty sets of 64-bit hashes."""
+def join_sets(sets: list[np.ndarray], threshold: float, orders: int = ORDERS, side: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, partners j > i, their Jaccard similarities) over non-empty sets of 64-bit hashes; of two sides, pairs across only."""
     size = np.array([len(s) for s in sets], dtype=np.int64)
     words, token, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     cut = np.cumsum(size)[:-1]
@@ -282,7 +298,7 @@ def join_sets(sets: list[np.ndarray], threshold: float, orders: int = ORDERS) ->
         ranks.append(rank)
     mark = np.zeros(len(words), bool)
     bounds = np.concatenate(([0], np.cumsum(size)))
-    for i, j in _candidates(local, ranks, size, threshold, len(words)):
+    for i, j in _candidates(local, ranks, size, np.full(len(sets), -1) if side is None else side, threshold, len(words)):
         mark[local[i]] = True
         n = size[j]
         where = np.repeat(bounds[j] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
@@ -298,111 +314,129 @@ def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed for their way to the task that compares them."""
     zipper = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        yield batch.set_column(1, "text", pa.array([zipper.compress(t.as_py().encode()) for t in batch.column(1)], pa.binary()))
+        yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array([zipper.compress(t.as_py().encode()) for t in batch.column("text")], pa.binary()))
 
 
-def _verify(n: int, threshold: float, orders: int):
+def _verify(n: int, threshold: float, orders: int, sums: bool):
+    """The links of a task: all of them as pairs, or summed up per key, with the links of a spanning forest."""
+
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        ids = table.column("doc_id").to_numpy()
-        side = table.column("block").to_numpy()
-        unzip = zstandard.ZstdDecompressor()
-        h, at = gram_sets(pa.array([unzip.decompress(t.as_py()) for t in table.column("text")], pa.binary()), n)
-        same: dict[bytes, int] = {}
-        sets, members = [], []
-        for r in range(len(ids)):
-            s = h[at[r] : at[r + 1]]
-            if len(s):
-                k = same.setdefault(s.tobytes(), len(sets))
-                if k == len(sets):
-                    sets.append(s)
-                    members.append([])
-                members[k].append(r)
-        whole = key[1].as_py() == key[2].as_py()
-        a, b, score = [], [], []
-
-        def pair(x: np.ndarray, y: np.ndarray, s: float) -> None:
-            i, j = np.repeat(x, len(y)), np.tile(y, len(x))
-            keep = ids[i] != ids[j] if whole else (ids[i] != ids[j]) & (side[i] != side[j])
-            i, j = ids[i[keep]], ids[j[keep]]
-            a.append(np.minimum(i, j))
-            b.append(np.maximum(i, j))
-            score.append(np.full(len(i), s))
-
-        members = [np.array(m) for m in members]
-        for m in members:
-            if len(m) > 1:
-                i, j = np.triu_indices(len(m), 1)
-                for x, y in ((i[k : k + (1 << 20)], j[k : k + (1 << 20)]) for k in range(0, len(i), 1 << 20)):
-                    keep = (ids[m[x]] != ids[m[y]]) & (whole | (side[m[x]] != side[m[y]]))
-                    p, q = ids[m[x[keep]]], ids[m[y[keep]]]
-                    a.append(np.minimum(p, q))
-                    b.append(np.maximum(p, q))
-                    score.append(np.ones(len(p)))
-        if sets:
-            single = np.array([len(m) == 1 for m in members])
-            lead = np.array([m[0] for m in members])
-            for i, js, scores in join_sets(sets, threshold, orders):
-                if single[i]:
-                    plain = single[js]
-                    if plain.any():
-                        x, y = np.full(plain.sum(), lead[i]), lead[js[plain]]
-                        keep = (ids[x] != ids[y]) & (whole | (side[x] != side[y]))
-                        a.append(np.minimum(ids[x], ids[y])[keep])
-                        b.append(np.maximum(ids[x], ids[y])[keep])
-                        score.append(scores[plain][keep])
-                    js, scores = js[~plain], scores[~plain]
-                for j, s in zip(js, scores):
-                    pair(members[i], members[j], s)
-        if not a:
-            return pa.table({"doc_a": pa.array([], pa.int64()), "doc_b": pa.array([], pa.int64()), "jaccard": pa.array([], pa.float64())})
-        return pa.table({"doc_a": np.concatenate(a), "doc_b": np.concatenate(b), "jaccard": np.concatenate(score)})
+        ids, first = np.unique(table.column("key").to_numpy(), return_index=True)  # repeated rows of a document come once
+        copies, block = table.column("n").to_numpy()[first], table.column("block").to_numpy()[first]
+        unzip, texts = zstandard.ZstdDecompressor(), table.column("text")
+        h, at = gram_sets(pa.array([unzip.decompress(texts[int(r)].as_py()) for r in first], pa.binary()), n)
+        some = np.flatnonzero(np.diff(at))
+        ids, copies, block = ids[some], copies[some], block[some]
+        sets = [h[at[r] : at[r + 1]] for r in some]
+        found = join_sets(sets, threshold, orders, None if key[1].as_py() == key[2].as_py() else block) if sets else ()
+        if not sums:
+            out = [(np.full(len(j), i), j, s) for i, j, s in found] or [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+            a, b, score = map(np.concatenate, zip(*out))
+            return pa.table({"key_a": ids[a], "key_b": ids[b], "jaccard": score})
+        links, best, top = np.zeros(len(sets), np.int64), np.zeros(len(sets)), np.arange(len(sets))
+
+        def find(x: int) -> int:
+            while top[x] != x:
+                top[x] = top[top[x]]
+                x = top[x]
+            return x
+
+        for i, j, s in found:
+            links[i] += copies[j].sum()
+            links[j] += copies[i]
+            best[i] = max(best[i], s.max())
+            best[j] = np.maximum(best[j], s)
+            for r in {find(x) for x in np.unique(top[j]).tolist()}:
+                top[r] = find(i)
+        hit = np.flatnonzero(links)
+        return pa.table({"key": ids[hit], "other": ids[np.array([find(x) for x in hit.tolist()], np.int64)], "links": links[hit], "best": best[hit]})
 
     return run
 
 
-def linked(docs: DataFrame, n: int, threshold: float, bucket_grams: int = BUCKET_GRAMS) -> DataFrame:
-    """(node, component) of the documents (by their key) that share a prefix token of order 0 with another."""
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+def _texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, one, two, key) of every document, (key, n, chars, text) of every distinct text that isn't blank).
+
+    one and two are 128 bits of hash of the lower-cased text; key numbers the texts.
+    """
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text")).filter("doc_id IS NOT NULL")
+    slim = slim.select("doc_id", F.xxhash64("text").alias("one"), F.xxhash64(F.lit(1), "text").alias("two"), "text", F.coalesce(F.col("text").rlike("[^ \\t\\n\\r\\f\\x0B]"), F.lit(False)).alias("solid"))
+    ids = shared_table(slim.select("doc_id", "one", "two", "solid").distinct(), "jaccard-ids")
+    leaders = ids.groupBy("one", "two", "solid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    leaders = shared_table(leaders.withColumn("key", F.monotonically_increasing_id()), "jaccard-leaders")
+    members = shared_table(ids.join(small_side(leaders.select("one", "two", "solid", "key")), ["one", "two", "solid"]), "jaccard-members")
+    chosen = small_side(leaders.filter("solid").select("doc_id", "one", "two", "key", "n"))
+    texts = slim.filter("solid").join(chosen, ["doc_id", "one", "two"]).select("key", "n", F.length("text").alias("chars"), "text")
+    return members, shared_table(texts, "jaccard-texts", compression="zstd")
+
+
+def _met(texts: DataFrame, n: int, threshold: float, block_rows: int, block_chars: int, bucket_grams: int) -> DataFrame:
+    """(component, i, j, block, key, n, text): the texts of the linked components, where they meet."""
+    chars = texts.agg(F.sum("chars")).first()[0] or 0
     buckets = partitions_for(chars / 6, bucket_grams)  # about 6 characters a word; only sizes the buckets
     parts = partitions_for(chars / 6, 8 * bucket_grams)  # prefix tokens are a small part of all
-    grams = docs.select("key", "text").mapInArrow(_grams_out(n, buckets), GRAM_ROWS)
-    back = grams.groupBy("bucket").applyInPandas(_repeated, REPEATED)
-    heads = back.groupBy("home").applyInPandas(_prefixes(threshold, parts), PREFIXES)
-    edges = heads.groupBy("part").applyInPandas(_links(threshold), "a bigint, b bigint")
-    return connected_components(edges)
-
-
-def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, orders: int = ORDERS, block_rows: int = BLOCK_ROWS, bucket_grams: int = BUCKET_GRAMS) -> DataFrame:
-    """All pairs doc_a < doc_b with Jaccard similarity >= threshold, once each."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    slim = slim.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
-    parts = shared_table(linked(slim, n, threshold, bucket_grams), "jaccard-components")
-    size = parts.groupBy("component").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks"))
-    parts = parts.join(size, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    parts = shared_table(parts.select(F.col("node").alias("key"), "component", "blocks", "block"), "jaccard-blocks")
-    parts = small_side(parts)  # keys of the linked documents, when few enough
-    # A document meets every block of its component: (i, j) with i <= j holds blocks i and j.
-    met = slim.join(parts, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("doc_id", "text", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    met = met.mapInArrow(_zipped, "doc_id bigint, text binary, component bigint, block int, i int, j int")
-    pairs = met.groupBy("component", "i", "j").applyInArrow(_verify(n, threshold, orders), PAIRS)
-    return pairs.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
-
-
-def groups(docs: DataFrame, **parameters) -> DataFrame:
-    """(doc_id, keeper) of all documents with a partner; keeper is the smallest id of the group."""
-    found = connected_components(similar_pairs(docs, **parameters), "doc_a", "doc_b")
-    return found.select(F.col("node").alias("doc_id"), F.col("component").alias("keeper"))
+    back = texts.select("key", "text").mapInArrow(_grams_out(n, buckets), GRAM_ROWS).groupBy("bucket").applyInPandas(_repeated, REPEATED)
+    heads = shared_table(back.groupBy("home").applyInPandas(_prefixes(threshold, parts), PREFIXES), "jaccard-prefixes")
+    linked = connected_components(heads.groupBy("part").applyInPandas(_links(threshold), "a bigint, b bigint")).withColumnRenamed("node", "key")
+    linked = shared_table(linked.join(texts.select("key", "chars"), "key"), "jaccard-linked")
+    size = linked.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / block_rows, F.sum("chars") / block_chars)).cast("int").alias("blocks"))
+    sized = shared_table(linked.join(size, "component").select("key", "component", "blocks"), "jaccard-sized")
+    zero = F.lit(0)
+    at = sized.filter("blocks = 1").select("key", "component", zero.alias("block"), zero.alias("i"), zero.alias("j"))
+    large = sized.filter("blocks > 1")
+    if not large.isEmpty():
+        entries = heads.select("grams", "keys", "place").mapInPandas(_entries, "gram bigint, key bigint").join(large, "key")
+        entries = shared_table(entries, "jaccard-entries")
+        first = entries.groupBy("key", "component", "blocks").agg(F.min("gram").alias("first"))
+        often = first.groupBy("component", "first").agg(F.ceil(F.count("*") / block_rows).alias("spread"))
+        block = F.pmod(F.xxhash64("first") + F.pmod(F.xxhash64("key"), "spread"), "blocks").cast("int")
+        block = shared_table(first.join(often, ["component", "first"]).select("key", "component", block.alias("block")), "jaccard-blocks")
+        entries = entries.select("gram", "key").join(block, "key")
+        others = entries.groupBy("gram").agg(F.collect_set("block").alias("others"))  # as many as there are blocks at most
+        pairs = entries.join(others, "gram").select("key", "component", "block", F.explode("others").alias("other")).distinct()
+        at = at.unionByName(pairs.select("key", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
+    at = small_side(shared_table(at, "jaccard-places"))  # keys of the linked texts, when few enough
+    met = texts.join(at, "key").select("component", "i", "j", "block", "key", "n", "text")
+    return met.mapInArrow(_zipped, "component bigint, i int, j int, block int, key bigint, n bigint, text binary")
+
+
+def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, orders: int = ORDERS, block_rows: int = BLOCK_ROWS, block_chars: int = BLOCK_CHARS, bucket_grams: int = BUCKET_GRAMS) -> DataFrame:
+    """All pairs doc_a < doc_b with Jaccard similarity >= threshold, once each; copies are expanded."""
+    members, texts = _texts(docs)
+    met = _met(texts, n, threshold, block_rows, block_chars, bucket_grams)
+    found = met.groupBy("component", "i", "j").applyInArrow(_verify(n, threshold, orders, sums=False), PAIRS)
+    one = members.filter("solid").select(F.col("key").alias("key_a"), F.col("doc_id").alias("x"))
+    two = members.filter("solid").select(F.col("key").alias("key_b"), F.col("doc_id").alias("y"))
+    copies = one.join(two, F.expr("key_a = key_b AND x < y")).select("x", "y", F.lit(1.0).alias("jaccard"))
+    pairs = found.join(one, "key_a").join(two, "key_b").filter("x <> y").select("x", "y", "jaccard").unionByName(copies)
+    return pairs.groupBy(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).agg(F.max("jaccard").alias("jaccard"))
+
+
+def _classed(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, orders: int = ORDERS, block_rows: int = BLOCK_ROWS, block_chars: int = BLOCK_CHARS, bucket_grams: int = BUCKET_GRAMS) -> DataFrame:
+    """The members of _texts() with class_id, keeper (key), links and best."""
+    members, texts = _texts(docs)
+    met = _met(texts, n, threshold, block_rows, block_chars, bucket_grams)
+    sums = shared_table(met.groupBy("component", "i", "j").applyInArrow(_verify(n, threshold, orders, sums=True), SUMS), "jaccard-sums")
+    solid = members.filter("solid").select(F.col("doc_id").alias("id"), "key")
+    per = key_classes(solid, sums.select("key", "links", "best"), sums.select(F.col("key").alias("a"), F.col("other").alias("b")))
+    return members.join(small_side(shared_table(per.select("key", "links", "best", "class_id", "keeper"), "jaccard-classes")), "key", "left")
+
+
+def classes(docs: DataFrame, **parameters) -> DataFrame:
+    """(doc_id, class_id, n_links, best_jaccard) of every document; class_id is the smallest id of its class."""
+    return _classed(docs, **parameters).select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.col("best").alias("best_jaccard"))
 
 
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of docs, all columns, without the members of similar groups but each group's keeper.
+    """The rows of docs, all columns, without the members of similar classes but each class's first (by id).
 
     Of several rows with one id the first in the order of their columns stays; rows with a null id stay.
     """
-    gone = shared_table(groups(docs, **parameters).filter("doc_id <> keeper").select(F.col("doc_id").alias("_gone")), "jaccard-gone")
-    gone = small_side(gone)
-    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    found = _classed(docs, **parameters).filter("class_id IS NOT NULL AND (class_id <> doc_id OR keeper <> key)")
+    gone = small_side(shared_table(found.select(F.col("doc_id").alias("_gone"), F.col("one").alias("_one"), F.col("two").alias("_two")), "jaccard-gone"))
+    text = F.lower(docs["text"].cast("string"))
+    on = (docs["doc_id"].cast("long") == gone["_gone"]) & (F.xxhash64(text) == gone["_one"]) & (F.xxhash64(F.lit(1), text) == gone["_two"])
+    kept = docs.join(gone, on, "left_anti")
     again = shared_table(docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("_again")).count().filter("count > 1").select("_again"), "jaccard-again")
     if again.isEmpty():
         return kept
@@ -423,4 +457,9 @@ def pairs_ctes(docs: str = "documents", n: int = N, threshold: float = THRESHOLD
   alike AS (SELECT a AS doc_a, b AS doc_b, CAST(c AS DOUBLE) / (p.n + q.n - c) AS jaccard FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE CAST(c AS DOUBLE) / (p.n + q.n - c) >= {threshold})"""
 
 
-PAIRS_SQL = f"WITH {pairs_ctes().lstrip()}\nSELECT doc_a, doc_b, jaccard FROM alike"
+CLASSES_SQL = f"""WITH RECURSIVE {pairs_ctes().lstrip()},
+  links AS (SELECT doc_a AS a, doc_b AS b, jaccard FROM alike UNION ALL SELECT doc_b, doc_a, jaccard FROM alike),
+  near(a, b) AS (SELECT doc_id, doc_id FROM documents WHERE doc_id IS NOT NULL UNION SELECT near.a, links.b FROM near JOIN links ON near.b = links.a),
+  tops AS (SELECT a AS doc_id, min(b) AS class_id FROM near GROUP BY a),
+  counts AS (SELECT a AS doc_id, count(*) AS n_links, max(jaccard) AS best_jaccard FROM links GROUP BY a)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, best_jaccard FROM tops LEFT JOIN counts USING (doc_id)"""
