@@ -9,6 +9,9 @@ deletions at 1 and changes at 2; a pair needs a common run of seven characters.
 score for tiny blocks, to block size / 3 * the shorter length, so texts of up to about 192 bytes can't reach MIN_SCORE
 there; similar_documents() doesn't, since the common run alone is 42 bits of evidence, and so finds their near copies.
 
+similar_classes() gives one row per document: its class (connected by pairs that reach the score), the number of documents
+it pairs with and its best score.  similar_documents() has the pairs themselves, copies expanded.
+
 That last rule is the index: documents meet only in buckets of (block size, seven characters).  What occurs in one
 document only is dropped before signatures travel; in the lists that remain, an upper bound of the common subsequence
 (a matrix product of letter counts) precedes the exact bit-parallel one.  Equal fingerprints are collapsed first, so a
@@ -18,7 +21,8 @@ Defined cases: null and empty texts have no fingerprint and no row; a signature
 near partners, and where both of a fingerprint are that short, equal texts (by a hash) are its partners in
 similar_documents() and none in similar_fingerprints(); a null id keeps its fingerprint but has no partners; repeated rows count once in pairs and a document never
 pairs with itself; other texts that differ but have equal fingerprints score 100 like copies; an empty table gives empty
-results; other columns are ignored.
+results; other columns are ignored.  In similar_classes() a document is an id with a fingerprint, and what has no partner, or
+no text, is a class of its own with 0 links and a null score; a null id has no row.
 """
 
 from __future__ import annotations
@@ -34,6 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.classes import key_classes
 from factloom.llm.common import partitions_for, small_side
 from factloom.llm.grams import U, ascending, from_ascending, mix64, squeeze, string_buffers, unsqueeze
 from factloom.storage import shared_table
@@ -285,17 +290,38 @@ def similar_fingerprints(docs: DataFrame, min_score: int = MIN_SCORE, bucket_ent
     return _pairs(fingerprints(docs).filter("doc_id IS NOT NULL AND length(signature) >= 7"), ["block_size", "signature", "signature2"], min_score, bucket_entries, limited=True)
 
 
-def similar_documents(docs: DataFrame, min_score: int = MIN_SCORE, bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
-    """similar_fingerprints() without the limit for tiny blocks, and copies of the texts whose signatures are too short for it."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
-    return _pairs(fingerprints(keyed, copies=True), ["block_size", "signature", "signature2", "copy"], min_score, bucket_entries, limited=False)
+SAME = ["block_size", "signature", "signature2", "copy"]
 
 
-def _pairs(prints: DataFrame, same: list[str], min_score: int, bucket_entries: int, limited: bool) -> DataFrame:
-    """Pairs of fingerprints; those that are equal in the columns `same` are copies."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    return fingerprints(docs.filter("doc_id IS NOT NULL"), copies=True)
+
+
+def similar_documents(docs: DataFrame, min_score: int = MIN_SCORE, bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
+    """similar_fingerprints() without the limit for tiny blocks, and copies of the texts whose signatures are too short for it."""
+    return _pairs(_keyed(docs), SAME, min_score, bucket_entries, limited=False)
+
+
+def similar_classes(docs: DataFrame, min_score: int = MIN_SCORE, bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
+    """(doc_id, class_id, n_links, best_score) of every document, by the pairs of similar_documents()."""
+    members, found = _found(_keyed(docs), SAME, min_score, bucket_entries, limited=False)
+    n = small_side(shared_table(members.groupBy("rep").agg(F.count("*").alias("n")), "fingerprint-copies"))
+    found = shared_table(found, "fingerprint-pairs")
+    both = found.select(F.col("rep_a").alias("rep"), F.col("rep_b").alias("key"), "score").unionByName(found.select(F.col("rep_b").alias("rep"), F.col("rep_a").alias("key"), "score"))
+    sums = both.join(n, "rep").groupBy("key").agg(F.sum("n").alias("links"), F.max("score").cast("double").alias("best"))
+    per = key_classes(members.select(F.col("doc_id").alias("id"), F.col("rep").alias("key")), sums, found.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
+    per = small_side(shared_table(per.select("key", "n", "links", "best", "class_id"), "fingerprint-classes"))
+    best = F.when(F.col("n") > 1, 100).otherwise(F.col("best")).cast("int")
+    rows = members.join(per, members["rep"] == per["key"]).select("doc_id", "class_id", F.col("links").alias("n_links"), best.alias("best_score"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.length(F.col("text").cast("string")) > 0, F.lit(False)).alias("some")).filter("doc_id IS NOT NULL AND NOT some").distinct()
+    return rows.unionByName(ids.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("int").alias("best_score")))
+
+
+def _found(prints: DataFrame, same: list[str], min_score: int, bucket_entries: int, limited: bool) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, rep) of all documents, (rep_a, rep_b, score) of different fingerprints); those equal in the columns `same` are one rep."""
     prints = shared_table(prints, "fingerprints")
-    reps = prints.groupBy(*same).agg(F.min("doc_id").alias("doc"), F.xxhash64(*same).alias("rep"))
-    reps = shared_table(reps.select("rep", *same), "fingerprint-reps")
+    reps = prints.select(*same).distinct().withColumn("rep", F.monotonically_increasing_id())  # numbers, not hashes: none coincide
+    reps = shared_table(reps, "fingerprint-reps")
     levels = F.array(F.struct(F.col("block_size").alias("level"), F.col("signature").alias("text")), F.struct((F.col("block_size") * 2).alias("level"), F.col("signature2").alias("text")))
     levels = reps.select("rep", F.inline(levels)).filter("length(text) >= 7")
     buckets = partitions_for(reps.count() * 60, bucket_entries)
@@ -303,7 +329,13 @@ def _pairs(prints: DataFrame, same: list[str], min_score: int, bucket_entries: i
     met = shared.groupBy("home").applyInPandas(_at_home, "gram bigint, rep bigint, level bigint, text string")
     met = met.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(4 * buckets))).repartition(4 * buckets, "bucket")
     found = met.groupBy("bucket").applyInPandas(_compare(min_score, limited), "rep_a bigint, rep_b bigint, score bigint").groupBy("rep_a", "rep_b").agg(F.max("score").alias("score"))
-    members = shared_table(prints.select("doc_id", F.xxhash64(*same).alias("rep")).distinct(), "fingerprint-members")
+    members = prints.select("doc_id", *same).distinct().join(small_side(reps, 256), same).select("doc_id", "rep")
+    return shared_table(members, "fingerprint-members"), found
+
+
+def _pairs(prints: DataFrame, same: list[str], min_score: int, bucket_entries: int, limited: bool) -> DataFrame:
+    """Pairs of documents, copies expanded."""
+    members, found = _found(prints, same, min_score, bucket_entries, limited)
     one = small_side(members.select(F.col("doc_id").alias("x"), F.col("rep").alias("rep_a")))
     two = small_side(members.select(F.col("doc_id").alias("y"), F.col("rep").alias("rep_b")))
     copies = one.join(two, F.expr("rep_a = rep_b AND x < y")).select("x", "y", F.lit(100).cast("long").alias("score"))
