@@ -9,15 +9,22 @@
     with the vectors of their neighbours in other shards: from the shard's medoid a beam search descends to the query,
     then the search expands every node within range until no new one appears.  Every vector is a query in all its shards.
 4.  Every found pair is verified in double precision.  An audit compares the pairs of `audit` vectors (smallest hash of the
-    id; their number is a parameter) with brute force over all vectors; below the target recall, clusters are made to
-    overlap more and the search is repeated.  The recall of the audit is a column of the result.
+    id; their number is a parameter, and grows up to AUDIT_MOST until TRUE_PAIRS pairs are seen) with brute force over all
+    vectors.  Below the target recall, clusters are made to overlap more and the search is repeated; a single shard is
+    compared exhaustively instead, and where no overlap reaches the target, an error is raised - a result below the
+    target is never returned.  Without true pairs the audit says nothing and its recall is null.
 
-What is broadcast: centres (one per shard_rows vectors - 256 bytes for some megabytes of data) and the audit vectors.
+What is broadcast: the audit vectors (a parameter) and centres, one per shard_rows vectors up to CENTRE_BYTES; a larger
+table has larger clusters, and so more blocks per cluster.
+
+near_duplicate_classes() gives one row per vector: its class (connected by pairs), the number of vectors it pairs with, and
+its highest similarity.  near_duplicates() gives the pairs, copies expanded.
 
 Defined cases: null, empty and all-zero vectors, those with null, NaN or infinite elements, and those whose dimension
 isn't the most frequent one (the smaller one if equal) have no partners; a null id is ignored; of several vectors with
 one id the first in byte order counts, so repeated rows count once; equal vectors have similarity 1; an empty table gives
-an empty result; other columns are ignored.
+an empty result; other columns are ignored.  In near_duplicate_classes() every id has one row; without partners it is a class
+of its own with 0 links and a null similarity.
 """
 
 from __future__ import annotations
@@ -30,7 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import partitions_for
+from factloom.llm.classes import key_classes
+from factloom.llm.common import partitions_for, small_side
 from factloom.storage import shared_table
 
 THRESHOLD = 0.95
@@ -40,7 +48,9 @@ NEAR, FAR, HUB = 24, 8, 64
 CANDIDATES = 64
 ALPHA = 1.2
 BEAM = 32
-AUDIT = 256
+AUDIT, AUDIT_MOST, TRUE_PAIRS = 256, 4096, 64
+CENTRE_BYTES = 64 << 20
+MOST_OVERLAP = 16
 RECALL = 0.98
 LLOYD_STEPS = 3
 PAIRS = "a bigint, b bigint, similarity double"
@@ -292,46 +302,100 @@ def search_graph(shards: DataFrame, reps: DataFrame, dim: int, threshold: float)
     return both.groupBy(*SHARD).applyInPandas(search, PAIRS).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
-def audited_recall(reps: DataFrame, pairs: DataFrame, dim: int, threshold: float, audit: int = AUDIT) -> float:
-    """Share of the pairs of `audit` vectors that were found, by brute force over all vectors; 1 where there are none."""
-    chosen = reps.select("id", "vec", F.xxhash64("id", F.lit(1)).alias("h")).orderBy("h", "id").limit(audit).select("id", "vec").toPandas()
-    if not len(chosen):
-        return 1.0
-    shared = reps.sparkSession.sparkContext.broadcast((chosen["id"].to_numpy(), matrix(chosen["vec"], dim)))
+def audited_recall(reps: DataFrame, pairs: DataFrame, dim: int, threshold: float, audit: int = AUDIT) -> float | None:
+    """Share of the pairs of `audit` vectors that were found, by brute force over all vectors; None where there are none."""
+    while True:
+        chosen = reps.select("id", "vec", F.xxhash64("id", F.lit(1)).alias("h")).orderBy("h", "id").limit(audit).select("id", "vec").toPandas()
+        if not len(chosen):
+            return None
+        shared = reps.sparkSession.sparkContext.broadcast((chosen["id"].to_numpy(), matrix(chosen["vec"], dim).astype(np.float64)))
 
-    def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, v = shared.value
-        for batch in batches:
-            own, x = batch.column(0).to_numpy(), matrix(batch.column(1), dim)
-            i, j = np.nonzero(x.astype(np.float64) @ v.T.astype(np.float64) >= threshold)
-            a, b = own[i], ids[j]
-            keep = a != b
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], names=["a", "b"])
+        def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, v = shared.value
+            for batch in batches:
+                own, x = batch.column(0).to_numpy(), matrix(batch.column(1), dim).astype(np.float64)
+                for a in range(0, len(x), 512):
+                    i, j = np.nonzero(x[a : a + 512] @ v.T >= threshold)
+                    p, q = own[a + i], ids[j]
+                    keep = p != q
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)[keep]), pa.array(np.maximum(p, q)[keep])], names=["a", "b"])
 
-    true = reps.select("id", "vec").mapInArrow(brute, "a bigint, b bigint").distinct()
-    hit = true.join(pairs.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left")
-    n, found = hit.agg(F.count("*"), F.count("hit")).first()
-    return found / n if n else 1.0
+        true = reps.select("id", "vec").mapInArrow(brute, "a bigint, b bigint").distinct()
+        n, found = true.join(pairs.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").agg(F.count("*"), F.count("hit")).first()
+        if n >= TRUE_PAIRS or audit >= AUDIT_MOST or len(chosen) < audit:
+            return found / n if n else None
+        audit = min(AUDIT_MOST, audit * 4)
 
 
-def near_duplicates(
-    vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS, overlap: int = OVERLAP, recall: float = RECALL, audit: int = AUDIT, id_col: str = "vec_id", vec_col: str = "embedding"
-) -> DataFrame:
-    """All found pairs vec_a < vec_b with cosine similarity >= threshold: (vec_a, vec_b, similarity, audited_recall)."""
+def _exhaustive(reps: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """All pairs of one shard."""
+
+    def every(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("id", kind="stable")
+        ids, x = frame["id"].to_numpy(), matrix(frame["vec"], dim).astype(np.float64)
+        out = []
+        for a in range(0, len(x), 512):
+            s = x[a : a + 512] @ x.T
+            i, j = np.nonzero(s >= threshold)
+            keep = a + i < j
+            out.append(pd.DataFrame({"a": ids[a + i[keep]], "b": ids[j[keep]], "similarity": np.minimum(1.0, np.round(s[i[keep], j[keep]], 6))}))
+        return pd.concat(out)
+
+    return reps.groupBy(F.lit(0)).applyInPandas(every, PAIRS)
+
+
+def _found(vectors: DataFrame, threshold: float, shard_rows: int, overlap: int, recall: float, audit: int, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame, float | None]:
+    """((id, rep) of all vectors, verified pairs of different vectors, audited recall)."""
     cleaned, dim = clean_vectors(vectors, id_col, vec_col)
     cleaned = shared_table(cleaned, "neardup-vectors")
     reps = shared_table(cleaned.groupBy("vec").agg(F.min("id").alias("id")).select("id", "vec"), "neardup-reps")
-    k = partitions_for(reps.count(), shard_rows)
+    k = min(partitions_for(reps.count(), shard_rows), max(2, CENTRE_BYTES // (4 * max(1, dim))))
     centres = find_centres(reps, k, dim, LLOYD_STEPS) if k > 1 else None
     while True:
         shards = shared_table(to_shards(reps, centres, dim, overlap, shard_rows), "neardup-shards")
         pairs = shared_table(search_graph(shards, reps, dim, threshold), "neardup-pairs")
         reached = audited_recall(reps, pairs, dim, threshold, audit)
-        if reached >= recall or centres is None or overlap >= min(len(centres), 16):
+        if reached is None or reached >= recall:
+            break
+        if centres is None:
+            pairs, reached = shared_table(_exhaustive(reps, dim, threshold), "neardup-pairs"), 1.0
             break
-        overlap *= 2
+        if overlap >= min(len(centres), MOST_OVERLAP):
+            raise RuntimeError(f"recall {reached:.4f} of the target {recall} with clusters that overlap {overlap} times; larger shards or a higher threshold are needed")
+        overlap = min(2 * overlap, len(centres), MOST_OVERLAP)
     members = cleaned.join(reps.select(F.col("id").alias("rep"), "vec"), "vec").select("id", "rep")
+    return shared_table(members, "neardup-members"), pairs, reached
+
+
+def near_duplicates(
+    vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS, overlap: int = OVERLAP, recall: float = RECALL, audit: int = AUDIT, id_col: str = "vec_id", vec_col: str = "embedding"
+) -> DataFrame:
+    """All found pairs vec_a < vec_b with cosine similarity >= threshold: (vec_a, vec_b, similarity, audited_recall)."""
+    members, pairs, reached = _found(vectors, threshold, shard_rows, overlap, recall, audit, id_col, vec_col)
     one, two = members.select(F.col("id").alias("x"), F.col("rep").alias("a")), members.select(F.col("id").alias("y"), F.col("rep").alias("b"))
     copies = one.join(two, F.expr("a = b AND x < y")).select("x", "y", F.lit(1.0).alias("similarity"))
     near = pairs.join(one, "a").join(two, "b").select("x", "y", "similarity")
-    return copies.unionByName(near).select(F.least("x", "y").alias("vec_a"), F.greatest("x", "y").alias("vec_b"), "similarity", F.lit(reached).alias("audited_recall"))
+    return copies.unionByName(near).select(F.least("x", "y").alias("vec_a"), F.greatest("x", "y").alias("vec_b"), "similarity", F.lit(reached).cast("double").alias("audited_recall"))
+
+
+def near_duplicate_classes(
+    vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS, overlap: int = OVERLAP, recall: float = RECALL, audit: int = AUDIT, id_col: str = "vec_id", vec_col: str = "embedding"
+) -> DataFrame:
+    """(vec_id, class_id, n_links, best_similarity) of every id; class_id is the smallest id of its class."""
+    members, pairs, _ = _found(vectors, threshold, shard_rows, overlap, recall, audit, id_col, vec_col)
+    n = small_side(shared_table(members.groupBy("rep").agg(F.count("*").alias("n")), "neardup-copies"))
+    both = pairs.select(F.col("a").alias("rep"), F.col("b").alias("key"), "similarity").unionByName(pairs.select(F.col("b").alias("rep"), F.col("a").alias("key"), "similarity"))
+    sums = both.join(n, "rep").groupBy("key").agg(F.sum("n").alias("links"), F.max("similarity").alias("best"))
+    per = key_classes(members.select("id", F.col("rep").alias("key")), sums, pairs.select("a", "b"))
+    per = small_side(shared_table(per.select(F.col("key").alias("rep"), "links", F.round("best", 4).alias("best"), "class_id"), "neardup-classes"))
+    found = members.join(per, "rep").select(F.col("id").alias("vec_id"), "class_id", "links", "best")
+    ids = vectors.select(F.col(id_col).cast("long").alias("vec_id")).filter("vec_id IS NOT NULL").distinct()
+    return ids.join(found, "vec_id", "left").select("vec_id", F.coalesce("class_id", "vec_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.col("best").alias("best_similarity"))
+
+
+CLASSES_SQL = f"""WITH RECURSIVE v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+  alike AS (SELECT x.id AS a, y.id AS b, list_cosine_similarity(x.e, y.e) AS s FROM v x JOIN v y ON x.id <> y.id WHERE list_cosine_similarity(x.e, y.e) >= {THRESHOLD}),
+  near(a, b) AS (SELECT id, id FROM v UNION SELECT near.a, alike.b FROM near JOIN alike ON near.b = alike.a),
+  tops AS (SELECT a AS vec_id, min(b) AS class_id FROM near GROUP BY a),
+  counts AS (SELECT a AS vec_id, count(*) AS n_links, max(s) AS best FROM alike GROUP BY a)
+SELECT vec_id, class_id, coalesce(n_links, 0) AS n_links, round(best, 4) AS best_similarity FROM tops LEFT JOIN counts USING (vec_id)"""
