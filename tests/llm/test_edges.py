@@ -10,7 +10,7 @@ from tests.llm import cases
 from tests.session import rows
 
 DOC_OPERATORS = {
-    "packing": lambda d, lab: packing.pack(d), "fingerprints": lambda d, lab: fingerprints.similar_fingerprints(d), "prints": lambda d, lab: fingerprints.fingerprints(d), "jaccard": lambda d, lab: jaccard.similar_pairs(d), "groups": lambda d, lab: jaccard.groups(d),
+    "packing": lambda d, lab: packing.pack(d), "fingerprints": lambda d, lab: fingerprints.similar_fingerprints(d), "prints": lambda d, lab: fingerprints.fingerprints(d), "jaccard": lambda d, lab: jaccard.similar_pairs(d), "jaccard_classes": lambda d, lab: jaccard.classes(d), "print_classes": lambda d, lab: fingerprints.similar_classes(d),
     "mixing": lambda d, lab: mixing.mix(d), "quality": quality.quality_scores, "toxicity": toxicity.toxicity,
     "keep_good": quality.keep_good, "keep_clean": toxicity.keep_clean, "keep_one": lambda d, lab: jaccard.keep_one(d), "select_mix": lambda d, lab: mixing.select_mix(d),
 }
@@ -43,6 +43,12 @@ def test_document_operators(spark, name):
     if name == "jaccard":
         pairs = set(zip(plain["doc_a"], plain["doc_b"]))
         assert pairs == {(1, 6), (1, 7), (6, 7), (5, 10)} and dict(zip(zip(plain["doc_a"], plain["doc_b"]), plain["jaccard"]))[1, 6] == 1
+    if name == "jaccard_classes":
+        got = {(int(r.doc_id), int(r.class_id), int(r.n_links), None if r.best_jaccard != r.best_jaccard else r.best_jaccard == 1) for r in plain.itertuples()}
+        assert got == {(1, 1, 2, True), (6, 1, 2, True), (7, 1, 2, False), (5, 5, 1, False), (10, 5, 1, False), *((k, k, 0, None) for k in (2, 3, 4, 8, 9, 11))} and len(plain) == 11
+    if name == "print_classes":
+        got = {int(r.doc_id): (int(r.class_id), int(r.n_links)) for r in plain.itertuples()}
+        assert sorted(got) == [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11] and len(plain) == 11 and got[6][0] == 1 and got[10][0] == 5 and all(got[k] == (k, 0) for k in (2, 3, 4, 8, 9))
     if name == "keep_one":
         assert sorted(x for x in ids if x) == [1, 2, 3, 4, 5, 8, 9, 11] and ids.count(None) == 2
     if name == "fingerprints":
@@ -93,6 +99,9 @@ def test_embeddings(spark):
     table = spark.createDataFrame(data, "vec_id bigint, embedding array<float>")
     out = neardup.near_duplicates(table).toPandas()
     assert set(zip(out["vec_a"], out["vec_b"])) == {(1, 2), (1, 3), (2, 3)} and (out["audited_recall"] == 1).all()
+    classed = neardup.near_duplicate_classes(table).toPandas()
+    assert {(r.vec_id, r.class_id, r.n_links) for r in classed.itertuples()} == {(1, 1, 2), (2, 1, 2), (3, 1, 2), *((k, k, 0) for k in range(4, 12))} and len(classed) == 11
+    assert rows(classed) == rows(neardup.near_duplicate_classes(cases.clashing(table)).toPandas()) and neardup.near_duplicate_classes(table.limit(0)).isEmpty()
     assert rows(out) == rows(neardup.near_duplicates(cases.clashing(table)).toPandas())
     assert neardup.near_duplicates(table.limit(0)).isEmpty() and neardup.near_duplicates(table.filter("vec_id = 1")).isEmpty()
 
