@@ -328,7 +328,7 @@ def _found(prints: DataFrame, same: list[str], min_score: int, bucket_entries: i
     shared = levels.mapInArrow(_entries(buckets), ENTRIES).groupBy("bucket").applyInPandas(_shared, "home bigint, keys binary, place binary, reps binary, levels binary, texts binary")
     met = shared.groupBy("home").applyInPandas(_at_home, "gram bigint, rep bigint, level bigint, text string")
     met = met.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(4 * buckets))).repartition(4 * buckets, "bucket")
-    found = met.groupBy("bucket").applyInPandas(_compare(min_score, limited), "rep_a bigint, rep_b bigint, score bigint").groupBy("rep_a", "rep_b").agg(F.max("score").alias("score"))
+    found = met.groupBy("bucket").applyInPandas(_compare(min_score, limited), "rep_a bigint, rep_b bigint, score bigint").repartition("rep_a").groupBy("rep_a", "rep_b").agg(F.max("score").alias("score"))
     members = prints.select("doc_id", *same).distinct().join(small_side(reps, 256), same).select("doc_id", "rep")
     return shared_table(members, "fingerprint-members"), found
 

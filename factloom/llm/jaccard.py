@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.classes import key_classes
 from factloom.llm.common import partitions_for, small_side
-from factloom.llm.grams import ascending, from_ascending, gram_sets, mix64, squeeze, unsqueeze
+from factloom.llm.grams import ascending, from_ascending, gram_sets, mix64, squeeze, string_buffers, unsqueeze
 from factloom.operators.components import connected_components
 from factloom.storage import shared_table
 
@@ -58,7 +58,8 @@ THRESHOLD = 0.5
 ORDERS = 3
 BUCKET_GRAMS = 2_000_000
 BLOCK_ROWS = 2000
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 4_000_000
+HOME_BYTES = 16 << 20
 PAIRS = "key_a bigint, key_b bigint, jaccard double"
 SUMS = "key bigint, other bigint, links bigint, best double"
 U = np.uint64
@@ -93,6 +94,17 @@ def _split(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> U(32)) * U(parts) >> U(32)).astype(np.int64)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about HOME_BYTES of text, or one text, so that what a worker holds doesn't grow with the texts of a batch."""
+    for batch in batches:
+        offsets, _ = string_buffers(batch.column(1))
+        a = 0
+        while a < len(batch):
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + HOME_BYTES)))
+            yield batch.slice(a, b - a)
+            a = b
+
+
 GRAM_ROWS = "bucket int, home bigint, place binary, prints binary, keys binary, sizes binary"
 
 
@@ -101,7 +113,7 @@ def _grams_out(n: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
-        for home, batch in enumerate(batches, first):
+        for home, batch in enumerate(_pieces(batches), first):
             h, at = gram_sets(batch.column(1), n)
             if not len(h):
                 continue

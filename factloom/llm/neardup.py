@@ -7,7 +7,7 @@
     if a kept one is nearer to it by the factor ALPHA than the node is); edges are made symmetric, hubs pruned again.
 3.  The adjacency lists of a node from all its shards are united.  A shard is searched on the united lists of its members
     with the vectors of their neighbours in other shards: from the shard's medoid a beam search descends to the query,
-    then the search expands every node within range until no new one appears.  Every vector is a query in all its shards.
+    then the search expands every node within range until no new one appears.  Every vector is a query in its nearest cluster.
 4.  Every found pair is verified in double precision.  An audit compares the pairs of `audit` vectors (smallest hash of the
     id; their number is a parameter, and grows up to AUDIT_MOST until TRUE_PAIRS pairs are seen) with brute force over all
     vectors.  Below the target recall, clusters are made to overlap more and the search is repeated; a single shard is
@@ -108,9 +108,9 @@ def find_centres(reps: DataFrame, k: int, dim: int, steps: int) -> np.ndarray:
 
 
 def to_shards(reps: DataFrame, centres: np.ndarray | None, dim: int, overlap: int, shard_rows: int) -> DataFrame:
-    """(shard, i, j, id, vec): every vector in its nearest clusters, large clusters as pairs of blocks."""
+    """(shard, i, j, home, id, vec): every vector in its nearest clusters (home: the nearest), large clusters as pairs of blocks."""
     if centres is None:
-        placed = reps.select(F.lit(0).alias("shard"), "id", "vec")
+        placed = reps.select(F.lit(0).alias("shard"), F.lit(True).alias("home"), "id", "vec")
     else:
         shared = reps.sparkSession.sparkContext.broadcast(centres)
         keep = min(overlap, len(centres))
@@ -118,16 +118,20 @@ def to_shards(reps: DataFrame, centres: np.ndarray | None, dim: int, overlap: in
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x = matrix(batch.column(1), dim)
-                near = [np.argpartition(-(x[a : a + 1024] @ shared.value.T), keep - 1, axis=1)[:, :keep] for a in range(0, len(x), 1024)]
+                near = []
+                for a in range(0, len(x), 1024):
+                    far = -(x[a : a + 1024] @ shared.value.T)
+                    cell = np.argpartition(far, keep - 1, axis=1)[:, :keep]
+                    near.append(np.take_along_axis(cell, np.argsort(np.take_along_axis(far, cell, 1), axis=1, kind="stable"), 1))
                 cells = np.concatenate(near).astype(np.int32) if near else np.zeros((0, keep), np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(cells), pa.list_(pa.int32()))], names=["id", "vec", "cells"])
 
-        placed = reps.select("id", "vec").mapInArrow(place, "id bigint, vec binary, cells array<int>").select(F.explode("cells").alias("shard"), "id", "vec")
+        placed = reps.select("id", "vec").mapInArrow(place, "id bigint, vec binary, cells array<int>").select(F.posexplode("cells").alias("place", "shard"), "id", "vec").select("shard", (F.col("place") == 0).alias("home"), "id", "vec")
     placed = shared_table(placed, "neardup-placed")
     blocks = placed.groupBy("shard").count().select("shard", F.when(F.col("count") <= 4 * shard_rows, 1).otherwise(F.ceil(F.col("count") / shard_rows)).cast("int").alias("blocks"))
     placed = placed.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return placed.select("shard", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "vec")
+    return placed.select("shard", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "home", "id", "vec")
 
 
 def robust_prune(x: np.ndarray, node: np.ndarray, candidates: np.ndarray, keep: int, alpha: float = ALPHA) -> np.ndarray:
@@ -267,7 +271,7 @@ def search_graph(shards: DataFrame, reps: DataFrame, dim: int, threshold: float)
 
     lists = shared_table(shards.groupBy(*SHARD).applyInPandas(build, "shard int, i int, j int, id bigint, near binary"), "neardup-lists")
     united = lists.groupBy("id").agg(F.collect_list("near").alias("near"))
-    members = shards.join(united, "id").select(*SHARD, "id", "vec", "near")
+    members = shards.join(united, "id").select(*SHARD, "home", "id", "vec", "near")
     # Neighbours in other shards: their ids per shard, packed, then their vectors.
     outside = lists.alias("l").join(lists.select("id", *[F.col(c).alias(f"o{c}") for c in SHARD], F.col("near").alias("out")).alias("o"), "id")
     outside = outside.filter("shard <> oshard OR i <> oi OR j <> oj").select(*SHARD, "id", "out")
@@ -278,7 +282,7 @@ def search_graph(shards: DataFrame, reps: DataFrame, dim: int, threshold: float)
 
     halo = outside.groupBy(*SHARD).applyInPandas(beyond, "shard int, i int, j int, id bigint")
     halo = halo.join(reps.select("id", "vec"), "id").join(shards.select(*SHARD, "id"), [*SHARD, "id"], "left_anti")
-    both = members.unionByName(halo.select(*SHARD, "id", "vec", F.lit(None).cast("array<binary>").alias("near")))
+    both = members.unionByName(halo.select(*SHARD, F.lit(False).alias("home"), "id", "vec", F.lit(None).cast("array<binary>").alias("near")))
 
     def search(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.assign(outer=frame["near"].isna()).sort_values(["outer", "id"], kind="stable")
@@ -291,7 +295,7 @@ def search_graph(shards: DataFrame, reps: DataFrame, dim: int, threshold: float)
             nodes.append(by[at][ids[by[at]] == e])
         out = [np.zeros((0, 2), np.int64)]
         if m:
-            for q, node in range_search(x, nodes, np.array([medoid(x[:m])]), np.arange(m), threshold - 1e-4):
+            for q, node in range_search(x, nodes, np.array([medoid(x[:m])]), np.flatnonzero(frame["home"].to_numpy()), threshold - 1e-4):
                 out.append(np.stack((np.minimum(ids[q], ids[node]), np.maximum(ids[q], ids[node])), 1))
         pairs = np.unique(np.concatenate(out), axis=0)
         a, b = by[np.searchsorted(ids[by], pairs[:, 0])], by[np.searchsorted(ids[by], pairs[:, 1])]
@@ -299,7 +303,7 @@ def search_graph(shards: DataFrame, reps: DataFrame, dim: int, threshold: float)
         hit = sims >= threshold
         return pd.DataFrame({"a": pairs[hit, 0], "b": pairs[hit, 1], "similarity": np.minimum(1.0, np.round(sims[hit], 6))})
 
-    return both.groupBy(*SHARD).applyInPandas(search, PAIRS).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    return both.groupBy(*SHARD).applyInPandas(search, PAIRS).repartition("a").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
 def audited_recall(reps: DataFrame, pairs: DataFrame, dim: int, threshold: float, audit: int = AUDIT) -> float | None:
@@ -341,7 +345,7 @@ def _exhaustive(reps: DataFrame, dim: int, threshold: float) -> DataFrame:
             out.append(pd.DataFrame({"a": ids[a + i[keep]], "b": ids[j[keep]], "similarity": np.minimum(1.0, np.round(s[i[keep], j[keep]], 6))}))
         return pd.concat(out)
 
-    return reps.groupBy(F.lit(0)).applyInPandas(every, PAIRS)
+    return reps.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda frame: every(frame), PAIRS)
 
 
 def _found(vectors: DataFrame, threshold: float, shard_rows: int, overlap: int, recall: float, audit: int, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame, float | None]:
