@@ -21,7 +21,7 @@ gives an empty result; a budget beyond all capacities selects everything; other
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,14 +90,19 @@ def mix(
     bucket_tokens: int = BUCKET_TOKENS,
     id_col: str = "doc_id",
     text_col: str = "text",
+    domain: Callable[[Column], Column] = default_domain,
+    tokens: Column | None = None,
 ) -> DataFrame:
-    """One row per chosen document and epoch: (doc_id, domain, lang, source, epoch, n_tokens)."""
+    """One row per chosen document and epoch: (doc_id, domain, lang, source, epoch, n_tokens).
+
+    domain: expression of the source column; null is 'unknown'.  tokens: a column of token counts instead of words.
+    """
     sized = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
-        default_domain(F.col("source")).alias("domain"),
+        F.coalesce(domain(F.col("source")), F.lit("unknown")).alias("domain"),
         F.coalesce(F.col("lang").cast("string"), F.lit("unknown")).alias("lang"),
         F.coalesce(F.col("source").cast("string"), F.lit("unknown")).alias("source"),
-        word_count(F.col(text_col)).alias("n_tokens"),
+        (word_count(F.col(text_col)) if tokens is None else tokens.cast("long")).alias("n_tokens"),
     ).filter("n_tokens > 0")
     sized = shared_table(sized, "mixing-sizes")  # the text is read once
     leaf = ["domain", "lang", "source"]

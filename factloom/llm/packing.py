@@ -12,7 +12,7 @@ the work is embarrassingly parallel, a shard's memory is bounded, and the waste
 
 Defined cases: tokens are white-space separated words; null, empty and blank texts have none and give no row; a
 document longer than the window fills whole windows by itself first and only its remainder is placed by the rule;
-rows with a null id are packed like others; repeated rows are packed as often as they occur; equal documents arrive in
+rows with a null id are packed like others, in the shard that their text is hashed to; repeated rows are packed as often as they occur; equal documents arrive in
 the order of (id, tokens), so results don't depend on the partitioning; among levels with the same sum the fullest
 wins and an open window wins over a new one; an empty table gives an empty result; other columns are ignored.
 """
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import partitions_for, word_count
@@ -83,12 +83,18 @@ def pack_shard(shard: int, ids: list, sizes: np.ndarray, window: int) -> pd.Data
     return frame.astype({"doc_id": "Int64"})
 
 
-def pack(docs: DataFrame, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document piece: the window it is in, where it starts there, and where it starts in the document."""
-    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), word_count(F.col(text_col)).alias("n")).filter("n > 0")
+def pack(docs: DataFrame, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None) -> DataFrame:
+    """One row per document piece: the window it is in, where it starts there, and where it starts in the document.
+
+    tokens: a column of token counts instead of words.
+    """
+    text = F.col(text_col).cast("string")
+    size = word_count(text) if tokens is None else tokens.cast("long")
+    spread = F.when(F.col(id_col).isNull(), F.xxhash64(text)).otherwise(F.lit(0))  # rows without an id go to all shards
+    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), size.alias("n"), spread.alias("spread")).filter("n > 0")
     sized = shared_table(sized, "packing-sizes")  # the text is read once; ids and sizes are 16 bytes a document
     shards = partitions_for(sized.agg(F.sum("n")).first()[0], shard_tokens)
-    keyed = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    keyed = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", "spread"), F.lit(shards)))
 
     def one(key, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.astype({"doc_id": "Int64"}).sort_values(["doc_id", "n"], kind="stable", na_position="first")

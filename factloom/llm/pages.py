@@ -7,7 +7,8 @@ footers, banners - are deleted; what remains is the page's own text.
 
 The neighbours come from one range partitioning of (host, path, id), not from a window per host, so a host with most of
 the crawl is spread over all tasks; the rows at the edges of the ranges are patched by a table of one row per range.
-Only line hashes of the partner travel to a page, and a page's markup is read, not stored.  The alignment is bit-parallel
+A page's markup is parsed once; its lines are kept as hashes and compressed text, and only the hashes of the partner's lines
+travel to it, by an equi-join on row numbers that is the same at every size.  The alignment is bit-parallel
 over Python integers after dropping lines that the other page doesn't have; rows of the dynamic programme are kept at
 checkpoints only and recomputed between them, so memory grows with the square root of a page's lines.
 
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -35,7 +37,6 @@ from pyspark.sql import Window as W
 from factloom.storage import shared_table
 
 SCHEMA = "page_id bigint, partner_id bigint, n_lines int, n_shared int, text string"
-BROADCAST_BYTES = 32 << 20
 
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)", re.I | re.S)
 _BLOCK = re.compile(
@@ -98,8 +99,8 @@ def _hashes(lines: list[str]) -> np.ndarray:
 
 
 def _neighbours(urls: DataFrame, ranges: int) -> DataFrame:
-    """(key, partner): of the rows before and after in (host, path, url, key), the one of longer common path."""
-    order = ["host", "path", "url", "key"]
+    """(key, partner): of the rows before and after in (host, path, url, id, content), the one of longer common path."""
+    order = ["host", "path", "url", "page_id", "one", "two", "key"]
     spread = urls.repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id())
     spread = shared_table(spread, "page-order")
     w = W.partitionBy("part").orderBy(*order)
@@ -131,38 +132,39 @@ def own_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     """One row per page: (page_id, partner_id, n_lines, n_shared, text); text has the lines that its partner lacks."""
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("key", F.xxhash64("page_id", "url", "html"))
+    rows = rows.withColumn("one", F.xxhash64("page_id", "url", "html")).withColumn("two", F.xxhash64(F.lit(1), "page_id", "url", "html"))
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zipper = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            h = [_hashes(lines_of(x.as_py())).tobytes() for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(h, pa.binary())], names=["page_id", "url", "key", "lines"])
-
-    lines = rows.mapInArrow(hashed, "page_id bigint, url string, key bigint, lines binary").dropDuplicates(["key"])
-    lines = shared_table(lines, "page-lines")  # 8 bytes a line
+            lines, bodies = [], []
+            for page in batch.column(2):
+                own = lines_of(page.as_py())
+                lines.append(_hashes(own).tobytes())
+                bodies.append(zipper.compress("\n".join(own).encode()))
+            columns = [*(batch.column(i) for i in (0, 1, 3, 4)), pa.array(lines, pa.binary()), pa.array(bodies, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "one", "two", "lines", "body"])
+
+    lines = rows.mapInArrow(parsed, "page_id bigint, url string, one bigint, two bigint, lines binary, body binary")
+    lines = shared_table(lines.withColumn("key", F.monotonically_increasing_id()), "page-lines")
+    once = shared_table(lines.groupBy("page_id", "url", "one", "two").agg(F.min("key").alias("key")), "page-keys")  # rows that repeat count once
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]+)", 1))
     path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)", 1)
-    urls = lines.select("key", host.alias("host"), path.alias("path"), "url").filter("host <> ''")
+    urls = once.select("key", host.alias("host"), path.alias("path"), "url", "page_id", "one", "two").filter("host <> ''")
     partner = _neighbours(urls, ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))).filter("partner IS NOT NULL")
     other = lines.select(F.col("key").alias("partner"), F.col("page_id").alias("partner_id"), F.col("lines").alias("other"))
-    found = lines.select("key").join(partner.join(other, "partner"), "key", "left").select("key", "partner_id", "other", F.col("partner").isNotNull().alias("paired"))
-    found = shared_table(found, "page-partners")
-    bytes_ = found.agg(F.sum(F.coalesce(F.length("other"), F.lit(0)) + 64)).first()[0] or 0
-    # Repeated rows come once: the first of a key is as good as any.
-    met = rows.select("key", "page_id", "html").join(F.broadcast(found) if bytes_ <= BROADCAST_BYTES else found, "key")
-    if rows.count() != lines.count():
-        met = met.dropDuplicates(["key"])
+    found = once.select("key").join(partner.join(other, "partner"), "key", "left").select("key", "partner_id", "other")
+    met = lines.select("key", "page_id", "lines", "body").join(found, "key")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             columns: list[list] = [[], [], []]
-            for page, other in zip(batch.column(1), batch.column(3)):
-                own = lines_of(page.as_py())
-                gone: set[int] = set()
-                if other.is_valid:
-                    gone = set(shared_lines(_hashes(own).tolist(), np.frombuffer(other.as_py(), np.uint64).tolist()))
-                for c, x in zip(columns, (len(own), len(gone), "\n".join(line for i, line in enumerate(own) if i not in gone))):
+            for hashes, body, other in zip(batch.column(1), batch.column(2), batch.column(4)):
+                own, text = np.frombuffer(hashes.as_py(), np.uint64).tolist(), unzip.decompress(body.as_py()).decode().split("\n")
+                gone = set(shared_lines(own, np.frombuffer(other.as_py(), np.uint64).tolist())) if other.is_valid else set()
+                for c, x in zip(columns, (len(own), len(gone), "\n".join(line for i, line in enumerate(text) if i not in gone))):
                     c.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string())], names=["page_id", "partner_id", "n_lines", "n_shared", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string())], names=["page_id", "partner_id", "n_lines", "n_shared", "text"])
 
-    return met.select("page_id", "html", "partner_id", "other").mapInArrow(cut, SCHEMA)
+    return met.select("page_id", "lines", "body", "partner_id", "other").mapInArrow(cut, SCHEMA)

@@ -10,13 +10,14 @@ positive where the good dictionary explains the text better.  A logistic curve f
 part in the dictionaries turns it into the calibrated probability that the document is good.  A few bytes are little
 evidence, so the curve's argument is weighed against the prior odds of the labels, n/(n+PRIOR_BYTES) to the rest.
 
-Both fits read a bounded sample of the labelled rows: per class `dict_rows` documents (smallest md5 of their id first),
-`dict_chars` characters of each, for the dictionaries, and as many others for the curve.  Those bounds are parameters
-of the fit; scoring covers every document and all its text.
+Both fits read a sample of the labelled rows: per class about `dict_rows` documents for the dictionaries and as many
+others for the curve (those whose id's hash is below the share that gives so many), with all their text.  `dict_rows` is
+the parameter of that bound; scoring covers every document and all its text.  The sample is cut to documents that there
+are; dictionaries are trained and differences computed by tasks, so the driver gets dictionaries and numbers, no texts.
 
 Defined cases: null, empty and blank texts say nothing and get difference 0 and the score of that difference, but are
 never good (`is_good` false); repeated rows get equal rows each; a null id is kept; labelled rows with null labels or
-without a document are ignored; without labelled rows of both classes nothing can be fitted, so every non-blank document
+without a document, and ids with contradictory labels, are ignored; of an id with several texts the first in byte order is learnt from; without labelled rows of both classes nothing can be fitted, so every non-blank document
 gets score 0.5 and is kept; other columns are ignored.
 """
 
@@ -30,12 +31,11 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from factloom.llm.grams import string_buffers
+from factloom.storage import shared_table
 
 DICT_ROWS = 1500
-DICT_CHARS = 4000
 DICT_BYTES = 64 * 1024
 PIECE = 2048
 LEVEL = 3
@@ -106,39 +106,57 @@ def chance(curve: tuple[float, float, float, float], difference: np.ndarray, siz
     return 1 / (1 + np.exp(-np.clip(share * (slope * difference / scale + offset) + (1 - share) * prior, -40, 40)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, chars: int, mark: str = "quality") -> list[tuple[str, int, int]]:
-    """Up to 2*rows labelled texts of each class of the 0/1 column `mark` as (text, class, rank within the class)."""
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(mark).cast("int").alias("quality")).filter("doc_id IS NOT NULL AND quality IN (0, 1)").dropDuplicates(["doc_id"])
-    place = F.row_number().over(W.partitionBy("quality").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id"))
-    # Ids and classes only are ranked; the ranked ids are few (a parameter), so their texts come by a broadcast join.
-    chosen = marks.withColumn("place", place).filter(F.col("place") <= 2 * rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.col("text"), 1, chars).alias("text")).filter("length(text) > 0")
-    got = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality", "place").collect()
-    seen = {r["doc_id"]: (r["text"], r["quality"], r["place"]) for r in sorted(got, key=lambda r: (r["doc_id"], r["text"]), reverse=True)}
-    return [seen[k] for k in sorted(seen)]
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, mark: str = "quality") -> DataFrame:
+    """(doc_id, text, class, half) of labelled documents, about 2*rows of each class of the 0/1 column `mark`, halves 0 and 1.
 
-
-def fit(docs: DataFrame, labels: DataFrame, dict_rows: int = DICT_ROWS, dict_chars: int = DICT_CHARS) -> tuple | None:
+    An id counts with the label that all its rows agree on; the sample are the ids with the smallest hashes.  Classes of
+    fewer documents are taken whole.  A written table of a bounded number of rows.
+    """
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(mark).cast("int").alias("class")).filter("doc_id IS NOT NULL AND class IN (0, 1)")
+    marks = marks.groupBy("doc_id").agg(F.min("class").alias("class"), F.max("class").alias("most")).filter("class = most")
+    there = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    marks = shared_table(marks.join(there.select("doc_id"), "doc_id", "left_semi").select("doc_id", "class"), "labelled")
+    share = {r["class"]: 2 * rows / r["n"] for r in marks.groupBy("class").agg(F.count("*").alias("n")).collect()}
+    place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / (1 << 30)
+    chosen = marks.filter(place < F.when(F.col("class") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0)))
+    met = there.filter("length(text) > 0").join(F.broadcast(chosen), "doc_id")  # about 4*rows ids
+    sample = met.groupBy("doc_id", "class").agg(F.min("text").alias("text"))
+    return shared_table(sample.select("doc_id", "text", "class", F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(2)).cast("int").alias("half")), "labelled-sample")
+
+
+def fit(docs: DataFrame, labels: DataFrame, dict_rows: int = DICT_ROWS) -> tuple | None:
     """(good dictionary, bad dictionary, curve), or None without labelled text of both classes."""
-    sample = labelled_sample(docs, labels, dict_rows, dict_chars)
-    build = {q: [t for t, quality, place in sample if quality == q and place % 2] for q in (0, 1)}
-    rest = [(t, q) for t, q, place in sample if not place % 2]
-    if not build[0] or not build[1]:
+    sample = labelled_sample(docs, labels, dict_rows)
+    count = {(r["class"], r["half"]): r["n"] for r in sample.groupBy("class", "half").agg(F.count("*").alias("n")).collect()}
+    if not all(count.get((c, 0), 0) + count.get((c, 1), 0) for c in (0, 1)):
         return None
-    good, bad = build_dictionary(build[1]), build_dictionary(build[0])
-    if len({q for _, q in rest}) < 2:
-        rest = [(t, q) for t, q, _ in sample]
-    both = Compressors(good, bad)
+    # where a half lacks a class, all of the sample serves both fits
+    whole = len(count) < 4
+
+    def train(frame: pd.DataFrame) -> pd.DataFrame:
+        texts = frame.sort_values("doc_id", kind="stable")["text"].tolist()
+        return pd.DataFrame({"class": [frame["class"].iloc[0]], "dictionary": [build_dictionary(texts)]})
+
+    trained = sample.filter(F.lit(whole) | (F.col("half") == 0)).groupBy("class").applyInPandas(train, "class int, dictionary binary").collect()
+    made = {r["class"]: bytes(r["dictionary"]) for r in trained}
+    good, bad = made[1], made[0]
+
+    def differ(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        both = Compressors(good, bad)
+        for frame in frames:
+            raw = [t.encode() for t in frame["text"]]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "class": frame["class"], "x": [both.difference(r) for r in raw], "n": [float(len(r)) for r in raw]})
+
+    seen = sample.filter(F.lit(whole) | (F.col("half") == 1)).mapInPandas(differ, "doc_id bigint, class int, x double, n double").toPandas().sort_values("doc_id")
     share = dict(labels.filter("quality IN (0, 1)").groupBy(F.col("quality").cast("int")).count().collect())
     odds = (share.get(1, 0) + 1) / (share.get(0, 0) + 1)
-    x, y = np.array([both.difference(t.encode()) for t, _ in rest]), np.array([float(q) for _, q in rest])
-    return good, bad, fit_curve(x, np.array([len(t.encode()) for t, _ in rest], float), y, odds)
+    return good, bad, fit_curve(seen["x"].to_numpy(), seen["n"].to_numpy(), seen["class"].to_numpy(float), odds)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, keep: float = KEEP, dict_rows: int = DICT_ROWS, dict_chars: int = DICT_CHARS) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, keep: float = KEEP, dict_rows: int = DICT_ROWS) -> DataFrame:
     """One row per document: (doc_id, difference, score, is_good)."""
     spark = docs.sparkSession
-    model = fit(docs, labels, dict_rows, dict_chars)
+    model = fit(docs, labels, dict_rows)
     shared = spark.sparkContext.broadcast(model)  # two dictionaries of a fixed size and three numbers
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

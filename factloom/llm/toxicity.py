@@ -11,11 +11,11 @@ languages whose words vary, is learnt from labelled documents.  A feature counts
 one toxic document don't make its harmless words suspicious.  The score is 1 - product of (1 - precision) over a
 document's distinct matches: the probability that at least one of them means what it meant in the labelled texts.
 
-The lexicon is fitted on up to `fit_rows` labelled documents of each class (smallest md5 of the id; whole texts); the
-character counts and the scoring cover all text of all documents.
+The lexicon is fitted on about `fit_rows` labelled documents of each class (smallest hash of the id; whole texts, whose
+words are restored by tasks); the character counts and the scoring cover all text of all documents.
 
 Defined cases: null, empty and blank texts get score 0; a null id is kept; repeated rows get equal rows each; labels that
-are null or without a document are ignored; without toxic labelled documents nothing is learnt and all scores are 0; a
+are null or without a document, and ids with contradictory labels, are ignored; without toxic labelled documents nothing is learnt and all scores are 0; a
 token of any length is decoded in time linear in it; other columns are ignored.
 """
 
@@ -43,6 +43,7 @@ PRECISION = 0.9
 PREFIXES = (7, 6, 5, 4)
 MOST = 4  # distinct words of one beginning that count
 CHANCE = np.log(1e-4)
+BLOCK = 1 << 22
 SYMBOLS = 27  # 0 is the word boundary, 1 to 26 are the letters
 REMEMBERED = 400_000
 SCHEMA = "doc_id bigint, score double, is_toxic boolean, n_restored int, hits array<string>"
@@ -106,6 +107,16 @@ def gram_counts(s: np.ndarray) -> np.ndarray:
     return np.bincount(((h3 * SYMBOLS + h2) * SYMBOLS + h1) * SYMBOLS + s[3:], minlength=SYMBOLS**4)
 
 
+def block_end(raw: np.ndarray, at: int) -> int:
+    """The first place from `at` on that follows a word boundary (an ASCII byte that is no letter), so that no word is cut."""
+    while at < len(raw):
+        gap = np.flatnonzero((raw[at - 1 : at + 65535] < 128) & (_SYMBOL[raw[at - 1 : at + 65535]] == 0))
+        if len(gap):
+            return at + int(gap[0])
+        at += 65536
+    return len(raw)
+
+
 def corpus_counts(docs: DataFrame) -> np.ndarray:
     """Order-4 counts over every text (a table of a fixed size, summed on the executors)."""
 
@@ -113,8 +124,11 @@ def corpus_counts(docs: DataFrame) -> np.ndarray:
         total = np.zeros(SYMBOLS**4, np.int64)
         for batch in batches:
             offsets, raw = string_buffers(batch.column(0))
-            for a in range(0, len(raw), 1 << 22):  # words cut by a block or joined by adjacent rows are too few to matter
-                total += gram_counts(symbols(raw[a : a + (1 << 22)]))
+            a = 0
+            while a < len(raw):
+                b = block_end(raw, a + BLOCK)
+                total += gram_counts(symbols(raw[a:b]))
+                a = b
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["gram", "n"])
 
@@ -288,8 +302,16 @@ class Lexicon:
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, dict[str, float]]:
     """(character model of the corpus, lexicon)."""
     model = log_model(corpus_counts(docs))
-    restorer = Restorer(model)
-    sample = [(words_of(t, restorer)[0], mark) for t, mark, _ in labelled_sample(docs, labels, (fit_rows + 1) // 2, 1 << 30, "toxic")]
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer = Restorer(shared.value)
+        for batch in batches:
+            words = [sorted(words_of(t.as_py(), restorer)[0]) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string()))], names=["doc_id", "class", "words"])
+
+    rows = labelled_sample(docs, labels, (fit_rows + 1) // 2, "toxic").select("doc_id", "class", "text").repartition(16).mapInArrow(restore, "doc_id bigint, class int, words array<string>")
+    sample = [(set(w), c) for _, c, w in sorted(zip(*(x.to_pylist() for x in rows.toArrow().columns)))]  # distinct words of a bounded number of documents
     share = dict(labels.filter("toxic IN (0, 1)").groupBy(F.col("toxic").cast("int")).count().collect())
     return model, learn(sample, share.get(1, 0) / max(1, sum(share.values())))
 

@@ -5,14 +5,20 @@ of its own bytes and the running digest of the record up to its end, updated inc
 any prefix of a record, resume after the last good chunk, and never needs more than one chunk in memory; the row with
 is_last has the digest of the whole payload.
 
-`chunk_pages` cuts the payload column of a table: the bytes stay in the Arrow buffer, are sliced without a copy and
-leave in output batches of bounded size.  `read_warc` streams archive files (plain, or gzip with one or many members):
-it holds one read block and one chunk at a time, so a 100 GB record needs no more memory than a small one.  One task
-reads one file.  `reassemble_digests` checks a chunk table with built-in aggregates.
+`chunk_pages` cuts the payload column of a table inside the JVM, so that what crosses to Python is a stream of chunks and
+never a record: the running digest is carried from batch to batch.  (The row itself is as large as its reader made it.)
+`read_warc` streams archive files (plain, or gzip with one or many members): it holds one read block and one chunk at a
+time, so a 100 GB record needs no more memory than a small one.  One task reads one file.  `broken_records` checks a
+chunk table with built-in aggregates.
 
 Defined cases: a null payload gives one row with null payload and digests, length 0; an empty one gives one row with
 an empty payload and the digest of nothing; a null url or id counts as empty text in the record identifier; repeated
 rows have the same record_id and give repeated rows; an empty table gives an empty result; other columns are ignored.
+A damaged archive never ends the job: what can't be read gives a row with `error` and the rest of the file is read on -
+from the next line that starts a record after a line that is none, a header without an end or a Content-Length that is
+no number or negative ('not a record', 'bad length'; several such lines together are one row), from the next member
+after a damaged gzip member ('damaged gzip'); a record that ends too early has a last row that isn't is_last, with
+'truncated'.  Header lines are cut at LINE bytes.
 """
 
 from __future__ import annotations
@@ -25,25 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.grams import string_buffers
-
 CHUNK_BYTES = 16 * 1024
 FLUSH_BYTES = 4 << 20
 SCHEMA = "record_id string, page_id bigint, chunk_no int, byte_start bigint, n_bytes int, is_last boolean, chunk_digest string, running_digest string, payload binary"
-WARC_SCHEMA = "record_id string, warc_type string, target_uri string, chunk_no int, byte_start bigint, n_bytes int, is_last boolean, chunk_digest string, running_digest string, payload binary"
-
-
-def chunks_of(payload: memoryview, chunk_bytes: int) -> Iterator[tuple[int, int, bool, str, str, memoryview]]:
-    """(number, start, is_last, digest of the chunk, running digest, bytes) for a payload that is already addressable."""
-    running, start, number = hashlib.sha256(), 0, 0
-    while True:
-        part = payload[start : start + chunk_bytes]
-        running.update(part)
-        last = start + chunk_bytes >= len(payload)
-        yield number, start, last, hashlib.sha256(part).hexdigest(), running.hexdigest(), part
-        if last:
-            return
-        start, number = start + chunk_bytes, number + 1
+WARC_SCHEMA = "record_id string, warc_type string, target_uri string, chunk_no int, byte_start bigint, n_bytes int, is_last boolean, chunk_digest string, running_digest string, payload binary, error string"
+LINE = 1 << 16
 
 
 class _Rows:
@@ -54,7 +46,7 @@ class _Rows:
 
     def add(self, *row) -> Iterator[pa.RecordBatch]:
         self.rows.append(row)
-        self.bytes += len(row[-1] or b"") + 300
+        self.bytes += len(row[9] or b"") + 300
         if self.bytes >= FLUSH_BYTES:
             yield self.batch()
 
@@ -76,25 +68,30 @@ def chunk_pages(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES, id_col: str =
     """The chunk table of a payload column (text as UTF-8, or binary)."""
     name = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(url_col).cast("string"), F.lit(""))))
     urn = F.concat(F.lit("urn:uuid:"), F.regexp_replace(name, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
-    slim = pages.select(urn.alias("record_id"), F.col(id_col).cast("long").alias("page_id"), F.col(payload_col).cast("binary").alias("payload"))
-    schema = _arrow(("record_id", pa.string()), ("page_id", pa.int64()), *_TAIL)
+    slim = pages.select(urn.alias("record_id"), F.col(id_col).cast("long").alias("page_id"), F.col(payload_col).cast("binary").alias("payload")).withColumn("size", F.length("payload"))
+    last = F.greatest(F.ceil(F.coalesce("size", F.lit(0)) / chunk_bytes) - 1, F.lit(0)).cast("int")
+    parts = slim.select("record_id", "page_id", "size", "payload", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
+    parts = parts.select("record_id", "page_id", "size", "chunk_no", F.substr("payload", F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes)).alias("part"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Rows(schema)
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        running = hashlib.sha256()  # of the record whose chunks are passing
         for batch in batches:
-            ids, pages_, payload = batch.column(0), batch.column(1), batch.column(2)
-            offsets, raw = string_buffers(payload)
-            view = memoryview(raw)
-            for i in range(len(batch)):
-                head = ids[i].as_py(), pages_[i].as_py()
-                if not payload[i].is_valid:
-                    yield from out.add(*head, 0, 0, 0, True, None, None, None)
-                    continue
-                for number, start, last, own, running, part in chunks_of(view[offsets[i] : offsets[i + 1]], chunk_bytes):
-                    yield from out.add(*head, number, start, len(part), last, own, running, bytes(part))
-        yield out.batch()
+            size, number, part = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            own, so_far, start = [], [], []
+            for k, p in zip(number, part):
+                if not k:
+                    running = hashlib.sha256()
+                if p is not None:
+                    running.update(p)
+                own.append(None if p is None else hashlib.sha256(p).hexdigest())
+                so_far.append(None if p is None else running.hexdigest())
+                start.append(k * chunk_bytes)
+            last = [a + chunk_bytes >= (n or 0) for a, n in zip(start, size)]
+            columns = [batch.column(0), batch.column(1), batch.column(3), pa.array(start, pa.int64()), pa.array([len(p or b"") for p in part], pa.int32()), pa.array(last, pa.bool_()), pa.array(own, pa.string()), pa.array(so_far, pa.string()), batch.column(4).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return slim.mapInArrow(cut, SCHEMA)
+    schema = _arrow(("record_id", pa.string()), ("page_id", pa.int64()), *_TAIL)
+    return parts.mapInArrow(digest, SCHEMA)  # rows of a partition keep their order, so a record's chunks pass one after the other
 
 
 def chunk_pages_sql(chunk_bytes: int = CHUNK_BYTES) -> str:
@@ -117,6 +114,7 @@ class ByteStream:
     def __init__(self, read: Callable[[int], bytes], block: int = 1 << 18):
         self.read, self.block, self.held, self.end = read, block, bytearray(), False
         self.packed, self.unzip = b"", None
+        self.damaged, self.seeking, self.tail = 0, False, b""
         first = read(block)
         self.gzip = first[:2] == b"\x1f\x8b"
         self._take(first)
@@ -130,10 +128,24 @@ class ByteStream:
             return
         raw = self.packed + raw
         self.packed = b""
+        if self.seeking:
+            at = raw.find(b"\x1f\x8b\x08")
+            self.seeking, raw = at < 0, raw[at:] if at >= 0 else raw[-2:]
+            if self.seeking:
+                self.tail = raw
+                return
         while raw and len(self.held) < 4 * self.block:
             if self.unzip is None:
                 self.unzip = zlib.decompressobj(31)
-            self.held += self.unzip.decompress(raw, self.block)
+            try:
+                self.held += self.unzip.decompress(raw, self.block)
+            except zlib.error:  # on with the next member; what this one gave so far stays
+                self.damaged += 1
+                self.unzip = None
+                at = raw.find(b"\x1f\x8b\x08", 1)
+                raw = raw[at:] if at > 0 else b""
+                self.seeking = at <= 0
+                continue
             raw = self.unzip.unused_data if self.unzip.eof else self.unzip.unconsumed_tail
             if self.unzip.eof:
                 self.unzip = None
@@ -146,13 +158,19 @@ class ByteStream:
             packed, self.packed = self.packed, b""
             self._take(packed)
         else:
-            self._take(self.read(self.block))
+            raw, tail = self.read(self.block), self.tail
+            self.tail = b""
+            self._take(tail + raw if raw else b"")
         return True
 
     def line(self) -> bytes | None:
+        """The next line; a longer one than LINE bytes comes in pieces."""
         at = 0
         while (stop := self.held.find(b"\n", at)) < 0:
             at = len(self.held)
+            if at >= LINE:
+                stop = LINE - 1
+                break
             if not self._more():
                 if not self.held:
                     return None
@@ -171,27 +189,47 @@ class ByteStream:
 
 
 def warc_chunks(stream: ByteStream, chunk_bytes: int) -> Iterator[tuple]:
-    """Rows of WARC_SCHEMA. A record that is cut off ends with a row that isn't is_last."""
+    """Rows of WARC_SCHEMA."""
+    damaged, line, lost = 0, None, False
+
+    def bad(why: str) -> tuple:
+        return "", None, None, 0, 0, 0, False, None, None, None, why
+
     while True:
-        line = stream.line()
-        while line is not None and not line.strip():
+        if line is None or lost:
             line = stream.line()
+            while line is not None and (not line.strip() or lost and not line.startswith(b"WARC/")):
+                line = stream.line()
+        if stream.damaged > damaged:
+            damaged = stream.damaged
+            yield bad("damaged gzip")
         if line is None:
             return
         if not line.startswith(b"WARC/"):
-            raise ValueError(f"not a WARC record: {line[:40]!r}")
-        head = {}
-        while (line := stream.line()) is not None and line.strip():
+            yield bad(f"not a record: {line[:40].decode('utf-8', 'replace').strip()}")
+            lost = True
+            continue
+        lost, head = False, {}
+        while (line := stream.line()) is not None and line.strip() and not line.startswith(b"WARC/"):
             key, _, value = line.decode("utf-8", "replace").partition(":")
             head[key.strip().lower()] = value.strip()
-        left, running, number, start = int(head.get("content-length", 0)), hashlib.sha256(), 0, 0
+        size = head.get("content-length", "0")
+        if not size.isascii() or not size.isdigit():
+            yield bad(f"bad length: {size[:40]}")
+            lost = line is None or not line.startswith(b"WARC/")
+            continue
+        if line is not None and line.startswith(b"WARC/"):
+            yield bad("not a record: its header has no end")
+            continue
+        line = None
+        left, running, number, start = int(size), hashlib.sha256(), 0, 0
         names = head.get("warc-record-id", "").strip("<>"), head.get("warc-type"), head.get("warc-target-uri")
         while True:
             part = stream.take(min(chunk_bytes, left))
             left -= len(part)
             running.update(part)
             cut_off = not part and left
-            yield (*names, number, start, len(part), not left, hashlib.sha256(part).hexdigest(), running.hexdigest(), part)
+            yield (*names, number, start, len(part), not left, hashlib.sha256(part).hexdigest(), running.hexdigest(), part, "truncated" if cut_off else None)
             if cut_off or not left:
                 break
             number, start = number + 1, start + len(part)
@@ -199,7 +237,7 @@ def warc_chunks(stream: ByteStream, chunk_bytes: int) -> Iterator[tuple]:
 
 def read_warc(spark: SparkSession, paths: list[str], chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Chunk table of archive files; any file system that pyarrow can name by URI. Files are the unit of parallelism."""
-    schema = _arrow(("record_id", pa.string()), ("warc_type", pa.string()), ("target_uri", pa.string()), *_TAIL)
+    schema = _arrow(("record_id", pa.string()), ("warc_type", pa.string()), ("target_uri", pa.string()), *_TAIL, ("error", pa.string()))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
