@@ -16,7 +16,7 @@ an empty payload and the digest of nothing; a null url or id counts as empty tex
 rows have the same record_id and give repeated rows; an empty table gives an empty result; other columns are ignored.
 A damaged archive never ends the job: what can't be read gives a row with `error` and the rest of the file is read on -
 from the next line that starts a record after a line that is none, a header without an end or a Content-Length that is
-no number or negative ('not a record', 'bad length'; several such lines together are one row), from the next member
+missing, no number or negative ('not a record', 'bad length'; several such lines together are one row), from the next member
 after a damaged gzip member ('damaged gzip'); a record that ends too early has a last row that isn't is_last, with
 'truncated'.  Header lines are cut at LINE bytes.
 """
@@ -134,7 +134,8 @@ class ByteStream:
             if self.seeking:
                 self.tail = raw
                 return
-        while raw and len(self.held) < 4 * self.block:
+        enough = len(self.held) + 4 * self.block  # whatever is held, a call gets on
+        while raw and len(self.held) < enough:
             if self.unzip is None:
                 self.unzip = zlib.decompressobj(31)
             try:
@@ -213,12 +214,15 @@ def warc_chunks(stream: ByteStream, chunk_bytes: int) -> Iterator[tuple]:
         while (line := stream.line()) is not None and line.strip() and not line.startswith(b"WARC/"):
             key, _, value = line.decode("utf-8", "replace").partition(":")
             head[key.strip().lower()] = value.strip()
-        size = head.get("content-length", "0")
+        if line is None:
+            yield bad("truncated: a header at the end of the file")
+            return
+        size = head.get("content-length", "")
         if not size.isascii() or not size.isdigit():
             yield bad(f"bad length: {size[:40]}")
-            lost = line is None or not line.startswith(b"WARC/")
+            lost = not line.startswith(b"WARC/")
             continue
-        if line is not None and line.startswith(b"WARC/"):
+        if line.startswith(b"WARC/"):
             yield bad("not a record: its header has no end")
             continue
         line = None
