@@ -47,7 +47,6 @@ def symbol_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matched(spark, sf_dir)[3]
 
 
-CALLS = "SELECT a.k AS x, b.k AS y FROM {side} a JOIN {side} b ON b.k = (a.k * 7 + 12) % 2000 OR b.k = a.k + 6"
 
 
 def confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +56,7 @@ def confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _calls(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     rows = frame(spark, sf_dir, side).select("id", "k")
-    a, b = rows.select(F.col("id").alias("caller"), F.explode(F.array((F.col("k") * 7 + 12) % 2000, F.col("k") + 6)).alias("k")), rows.select(F.col("id").alias("callee"), "k")
+    a, b = rows.select(F.col("id").alias("caller"), F.explode(F.array(F.col("k").bitwiseXOR(F.lit(12)), F.col("k") + 6)).alias("k")), rows.select(F.col("id").alias("callee"), "k")
     return a.join(b, "k").select("caller", "callee").distinct()
 
 
@@ -167,7 +166,7 @@ SELECT name, {_SNAKE.format("name")} AS snake, regexp_full_match(name, '[A-Z0-9]
     "port_file_map": ctes(_CTES + " SELECT * FROM fmap"),
     "port_symbol_match": ctes(_CTES + " SELECT * FROM matched"),
     "port_graph_confirm": ctes(_CTES + f""",
-  sc AS (SELECT DISTINCT a.id AS caller, b.id AS callee FROM s0 a JOIN s0 b ON b.k = (a.k * 7 + 12) % 2000 OR b.k = a.k + 6), tc AS (SELECT DISTINCT a.id AS caller, t.leaf FROM t0 a JOIN t0 b ON b.k = (a.k * 7 + 12) % 2000 OR b.k = a.k + 6 JOIN tgt t ON t.id = b.id),
+  sc AS (SELECT DISTINCT a.id AS caller, b.id AS callee FROM s0 a JOIN s0 b ON b.k = xor(a.k, 12) OR b.k = a.k + 6), tc AS (SELECT DISTINCT a.id AS caller, t.leaf FROM t0 a JOIN t0 b ON b.k = xor(a.k, 12) OR b.k = a.k + 6 JOIN tgt t ON t.id = b.id),
   asked AS (SELECT m.id, m.target, c.leaf FROM (SELECT DISTINCT id, target FROM matched WHERE target IS NOT NULL) m JOIN sc ON sc.caller = m.id JOIN matched c ON c.id = sc.callee AND c.target IS NOT NULL)
 SELECT id, avg(CASE WHEN EXISTS (SELECT 1 FROM tc WHERE tc.caller = asked.target AND tc.leaf = asked.leaf) THEN 1.0 ELSE 0.0 END) AS overlap, avg(CASE WHEN EXISTS (SELECT 1 FROM tc WHERE tc.caller = asked.target AND tc.leaf = asked.leaf) THEN 1.0 ELSE 0.0 END) >= 0.5 AS confirmed FROM asked GROUP BY id"""),
     "port_bands": ctes(_CTES + """, top AS (SELECT file, target_file, total_matched, row_number() OVER (PARTITION BY file ORDER BY total_matched DESC, target_file) AS k FROM contrib)

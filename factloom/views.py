@@ -24,13 +24,12 @@ SELECT caller, callee, kind, CASE WHEN kind = 'reference' THEN 'reference' WHEN
     concat(substring(caller, 1, 3), '.rs') AS evidence_file, CAST(length(caller) * 10 + length(callee) AS INT) AS evidence_line,
     kind = 'call' AND length(caller) % 4 = 1 AS seam
 FROM (SELECT concat('crm::C', o_custkey) AS caller, concat('cat::P', l_partkey) AS callee, 'call' AS kind
-        FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey WHERE l_linenumber = 1 AND l_quantity >= 40
-    UNION SELECT concat('cat::P', l_partkey), concat('sup::S', l_suppkey), 'reference' FROM {lineitem} WHERE l_quantity >= 49 AND l_linestatus = 'F'
+        FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey
+    UNION SELECT concat('cat::P', l_partkey), concat('sup::S', l_suppkey), 'reference' FROM {lineitem}
     UNION SELECT concat('cat::P', a.p_partkey), concat('cat::P', b.p_partkey), 'call' FROM {part} a JOIN {part} b
-        ON b.p_partkey = a.p_partkey + 1 - 2 * (a.p_partkey % 2) WHERE a.p_size % 4 = 0
-    UNION SELECT concat('cat::P', p_partkey), concat('sup::S', p_partkey % 10 + 1), 'type' FROM {part} WHERE p_size % 3 = 0
-    UNION SELECT concat('sup::S', s_suppkey), concat('ext::op', s_nationkey % 8, '::run'), 'call' FROM {supplier} WHERE s_suppkey % 3 = 0
-    UNION SELECT concat('sup::S', s_suppkey), concat('lib', s_nationkey % 5, '::util::f'), 'call' FROM {supplier} WHERE s_suppkey % 4 = 1) e""",
+        ON b.p_partkey = a.p_partkey + 1 - 2 * (a.p_partkey % 2)
+    UNION SELECT concat('cat::P', p_partkey), concat('sup::S', p_partkey % 10 + 1), 'type' FROM {part}
+    UNION SELECT concat('sup::S', s_suppkey), CASE WHEN s_suppkey % 3 = 0 THEN concat('ext::op', s_nationkey % 8, '::run') ELSE concat('lib', s_nationkey % 5, '::util::f') END, 'call' FROM {supplier}) e""",
     "v_roots": """
 SELECT DISTINCT callee AS symbol, CASE substring(callee, 8, 1) WHEN '0' THEN 'fs' WHEN '1' THEN 'net' WHEN '2' THEN 'db' WHEN '3' THEN 'clock'
     WHEN '4' THEN 'random' WHEN '5' THEN 'process' WHEN '6' THEN 'env' ELSE 'alloc' END AS effect FROM {v_edges} WHERE callee LIKE 'ext::op%'""",
