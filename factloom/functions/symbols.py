@@ -7,9 +7,6 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Passes of innermost-group removal; a path nested deeper keeps its outer groups cut from the first bracket on.
-NESTING = 16
-
 
 def package_of(symbol: Column) -> Column:
     return F.substring_index(symbol, "::", 1)
@@ -21,13 +18,24 @@ def leaf_name(symbol: Column) -> Column:
 
 def strip_generics(symbol: Column) -> Column:
     """The path without balanced <...> groups; runs of colons become one separator."""
-    out = symbol
-    for _ in range(NESTING):
-        out = F.regexp_replace(out, "<[^<>]*>", "")
-    out = F.regexp_replace(out, "<.*$", "")
+    inner = "<[^<>]*>"
+    out = F.regexp_replace(F.regexp_replace(F.regexp_replace(symbol, inner, ""), inner, ""), inner, "")
+    out = F.when(out.contains("<"), _outside(out)).otherwise(out)  # the scan is for what three passes leave
     return F.regexp_replace(out, ":{2,}", "::")
 
 
+def _outside(symbol: Column) -> Column:
+    """What is outside <...>, of any nesting; an open group reaches to the end."""
+    start = F.struct(F.lit("").alias("kept"), F.lit(0).alias("depth"))
+
+    def step(a: Column, c: Column) -> Column:
+        depth = a["depth"] + F.when(c == "<", 1).when((c == ">") & (a["depth"] > 0), -1).otherwise(0)
+        keep = (a["depth"] == 0) & (c != "<")
+        return F.struct(F.when(keep, F.concat(a["kept"], c)).otherwise(a["kept"]).alias("kept"), depth.alias("depth"))
+
+    return F.aggregate(F.split(symbol, ""), start, step, lambda a: a["kept"])
+
+
 def path_segments(symbol: Column) -> Column:
     return F.filter(F.split(symbol, "::"), lambda s: s != "")
 

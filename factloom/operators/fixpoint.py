@@ -2,13 +2,15 @@
 
 Spark's recursive CTEs have bag semantics and level limits, so a cyclic graph needs this loop: each round joins only the
 rows that are new since the last one, and drops what is known already.  Every round's new rows are a table in the shared
-folder, so plans stay as small as one round.  The loop ends when a round brings nothing, and raises at `max_rounds`.
+folder, so plans stay as small as one round.  The loop ends when a round brings nothing, however many it
+takes; a caller may set a bound, at which it raises.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,24 +18,42 @@ from pyspark.sql import functions as F
 from factloom.schemas import EDGE_KINDS
 from factloom.storage import shared_table
 
-MAX_ROUNDS = 500
+MERGE = 8
 
 
-def semi_naive(seed: DataFrame, step: Callable[[DataFrame], DataFrame], key: list[str], max_rounds: int = MAX_ROUNDS, merge_every: int = 8) -> DataFrame:
+def rounds(most: int | None) -> Iterable[int]:
+    return count() if most is None else range(most)
+
+
+class Rounds:
+    """The rows of many rounds in few tables: MERGE tables of as many rounds each become one, so a row is rewritten log(rounds) times."""
+
+    def __init__(self, name: str):
+        self.name, self.parts = name, []
+
+    def add(self, rows: DataFrame) -> None:
+        self.parts.append((1, rows))
+        while len(self.parts) >= MERGE and self.parts[-1][0] == self.parts[-MERGE][0]:
+            last, self.parts = self.parts[-MERGE:], self.parts[:-MERGE]
+            self.parts.append((MERGE * last[0][0], shared_table(reduce(DataFrame.unionByName, [t for _, t in last]), self.name)))
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [t for _, t in self.parts])
+
+
+def semi_naive(seed: DataFrame, step: Callable[[DataFrame], DataFrame], key: list[str], max_rounds: int | None = None) -> DataFrame:
     """Least fixpoint of seed and step, set semantics on `key`; of rows with one key, the round that was first wins.
 
     `step` gets the newest rows and returns candidates, at most one per key.
     """
     new = shared_table(seed, "fix-new")
-    known = [new]
-    for _ in range(max_rounds):
+    known = Rounds("fix-known")
+    known.add(new)
+    for _ in rounds(max_rounds):
         if new.isEmpty():
-            return reduce(DataFrame.unionByName, known)
-        found = reduce(DataFrame.unionByName, known)
-        new = shared_table(step(new).join(found.select(*key), key, "left_anti"), "fix-new")
-        known.append(new)
-        if len(known) > merge_every:
-            known = [shared_table(reduce(DataFrame.unionByName, known), "fix-known")]
+            return known.all()
+        new = shared_table(step(new).join(known.all().select(*key), key, "left_anti"), "fix-new")
+        known.add(new)
     raise RuntimeError(f"no fixpoint within {max_rounds} rounds")
 
 
@@ -42,7 +62,7 @@ def carries_effects(edges: DataFrame) -> DataFrame:
     return edges.filter(F.col("kind").isin("call", "reference"))
 
 
-def effect_closure(edges: DataFrame, roots: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def effect_closure(edges: DataFrame, roots: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(symbol, effect, path): each effect a symbol reaches and a shortest evidence path from it to a root.
 
     Both ends are in the path; a root's own path is itself.  Of equally short paths the one whose next hop is the
@@ -58,7 +78,7 @@ def effect_closure(edges: DataFrame, roots: DataFrame, max_rounds: int = MAX_ROU
     return semi_naive(seed, step, ["symbol", "effect"], max_rounds)
 
 
-def reach(edges: DataFrame, start: DataFrame, kinds: tuple[str, ...] = EDGE_KINDS, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def reach(edges: DataFrame, start: DataFrame, kinds: tuple[str, ...] = EDGE_KINDS, max_rounds: int | None = None) -> DataFrame:
     """(id, hops) of everything reachable from the ids in `start`, over the given edge kinds, outside symbols included."""
     uses = shared_table(edges.filter(F.col("kind").isin(*kinds)).select("caller", "callee").distinct(), "uses")
     seed = start.select("id").distinct().withColumn("hops", F.lit(0))
@@ -69,7 +89,7 @@ def reach(edges: DataFrame, start: DataFrame, kinds: tuple[str, ...] = EDGE_KIND
     return semi_naive(seed, step, ["id"], max_rounds)
 
 
-def reach_pairs(edges: DataFrame, a: str = "caller", b: str = "callee", max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def reach_pairs(edges: DataFrame, a: str = "caller", b: str = "callee", max_rounds: int | None = None) -> DataFrame:
     """(src, dst): dst is reachable from src by one edge or more. The result is as large as the closure."""
     uses = shared_table(edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).distinct(), "uses")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from factloom.functions.symbols import leaf_name, package_of
-from factloom.operators.fixpoint import MAX_ROUNDS, reach, reach_pairs, semi_naive
+from factloom.operators.fixpoint import Rounds, reach, reach_pairs, rounds, semi_naive
 from factloom.schemas import UNKNOWN
 from factloom.storage import shared_table
 
@@ -58,7 +58,7 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def strongly_connected(nodes: DataFrame, pairs: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def strongly_connected(nodes: DataFrame, pairs: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(id, component) for every node; component is the smallest member.
 
     Nodes without a dependency or without a dependent inside what remains are trimmed first (they are components by
@@ -66,8 +66,8 @@ def strongly_connected(nodes: DataFrame, pairs: DataFrame, max_rounds: int = MAX
     its component.  Both steps repeat on the rest, which shrinks by all origins each time.
     """
     left = shared_table(pairs.select("caller", "callee").filter("caller <> callee").distinct(), "scc-edges")
-    done = None
-    for _ in range(max_rounds):
+    done = Rounds("scc-found")
+    for _ in rounds(max_rounds):
         # trim until every remaining edge is between nodes that have both directions
         n = left.count()
         while n:
@@ -80,7 +80,7 @@ def strongly_connected(nodes: DataFrame, pairs: DataFrame, max_rounds: int = MAX
         if not n:
             break
         colour = shared_table(left.select(F.col("caller").alias("id")).union(left.select("callee")).distinct().withColumn("colour", F.col("id")), "scc-colour")
-        for _ in range(max_rounds):
+        for _ in rounds(max_rounds):
             near = left.join(colour, left["caller"] == colour["id"]).groupBy(F.col("callee").alias("id")).agg(F.min("colour").alias("other"))
             now = shared_table(colour.join(near, "id", "left").select("id", F.least("colour", F.coalesce("other", "colour")).alias("colour"), (F.col("other") < F.col("colour")).alias("moved")), "scc-colour")
             colour = now.select("id", "colour")
@@ -96,32 +96,33 @@ def strongly_connected(nodes: DataFrame, pairs: DataFrame, max_rounds: int = MAX
             return same.join(new.select(F.col("id").alias("callee"), F.col("colour").alias("c")), "callee").filter("c = colour").select(F.col("caller").alias("id"), "colour").distinct()
 
         found = shared_table(semi_naive(origin, back, ["id", "colour"], max_rounds), "scc-found")
-        done = found if done is None else done.unionByName(found)
+        done.add(found)
         gone = found.select("id")
         left = left.join(gone.withColumnRenamed("id", "caller"), "caller", "left_anti").join(gone.withColumnRenamed("id", "callee"), "callee", "left_anti")
         left = shared_table(left, "scc-edges")
     else:
         raise RuntimeError(f"components not found within {max_rounds} rounds")
     ids = nodes.select("id").distinct()
-    if done is None:
+    if not done.parts:
         return ids.select("id", F.col("id").alias("component"))
+    done = done.all()
     low = done.groupBy("colour").agg(F.min("id").alias("component"))
     named = done.join(low, "colour").select("id", "component")
     return ids.join(named, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def layers(nodes: DataFrame, pairs: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame | None:
+def layers(nodes: DataFrame, pairs: DataFrame, max_rounds: int | None = None) -> DataFrame | None:
     """(id, wave): 0 without dependencies, else one more than the highest wave it depends on; None if there is a cycle."""
     rest = shared_table(nodes.select("id").distinct(), "layer-rest")
     live = shared_table(pairs.filter("caller <> callee").select("caller", "callee").distinct(), "layer-edges")
-    out = None
-    for wave in range(max_rounds):
+    out = Rounds("layer")
+    for wave in rounds(max_rounds):
         if rest.isEmpty():
-            return out if out is not None else rest.withColumn("wave", F.lit(0))
+            return out.all() if out.parts else rest.withColumn("wave", F.lit(0))
         ready = shared_table(rest.join(live.select(F.col("caller").alias("id")).distinct(), "id", "left_anti").withColumn("wave", F.lit(wave)), "layer")
         if ready.isEmpty():
             return None
-        out = ready if out is None else out.unionByName(ready)
+        out.add(ready)
         rest = shared_table(rest.join(ready, "id", "left_anti"), "layer-rest")
         live = shared_table(live.join(ready.select(F.col("id").alias("callee")), "callee", "left_anti").select("caller", "callee"), "layer-edges")
     raise RuntimeError(f"more than {max_rounds} layers")
@@ -163,8 +164,9 @@ def condense_local(pairs: list[tuple[str, str]]) -> list[tuple[str, str, int]]:
                 if todo:
                     low[todo[-1][0]] = min(low[todo[-1][0]], low[x])
                 if low[x] == index[x]:  # x closes a component; what it depends on is closed already
-                    at = stack.index(x) if len(stack) < 64 else len(stack) - 1 - stack[::-1].index(x)
-                    members, stack[at:] = stack[at:], []
+                    members = [stack.pop()]
+                    while members[-1] != x:
+                        members.append(stack.pop())
                     name = min(members)
                     of.update(dict.fromkeys(members, name))
                     level[name] = max((level[of[y]] + 1 for m in members for y in out[m] if of[y] != name), default=0)
@@ -258,9 +260,12 @@ def resolve_pattern(symbols: DataFrame, pattern: str) -> DataFrame:
 
 
 def near_misses(symbols: DataFrame, pattern: str, n: int = 5) -> DataFrame:
-    """Up to n ids that share the pattern's last segment, for error messages."""
-    last = pattern.split("::")[-1].lower()
-    return symbols.filter(F.lower("id").contains(last[:4])).select("id").orderBy("id").limit(n)
+    """Up to n ids for error messages: those with the pattern in id or display, in any case; without one, the first internal ones."""
+    part = F.lit(pattern.lower())
+    like = F.lower("id").contains(part) | F.coalesce(F.lower("display").contains(part), F.lit(False))
+    met = symbols.select("id", F.when(like, 1).when(~F.col("external"), 2).alias("tier")).filter("tier IS NOT NULL")
+    best = met.agg(F.min("tier").alias("best"))
+    return met.join(F.broadcast(best), F.expr("tier = best")).select("id").orderBy("id").limit(n)  # one row
 
 
 def closure_of(symbols: DataFrame, edges: DataFrame, start: DataFrame) -> tuple[DataFrame, DataFrame]:

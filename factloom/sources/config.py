@@ -64,12 +64,11 @@ def read_rules(doc: Mapping[str, Any]) -> tuple[dict[str, str], tuple[str, ...]]
 
 
 def merged_rules(language: str, *files: str | Path) -> tuple[dict[str, str], tuple[str, ...]]:
-    """Rules of a language, overridden by prefix by each later file; languages never mix."""
+    """Rules of a language, retargeted in their place by each later file, which adds its new ones at the end; languages never mix."""
     seeds, pure = dict(BASE_RULES.get(language, {})), ()
     for f in files:
         more, trusted = read_rules(tomllib.loads(Path(f).read_text()))
         for k, v in more.items():
-            seeds.pop(k, None)  # a later rule also comes later in the order
             seeds[k] = v
         pure += trusted
     return seeds, pure

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom import schemas
+from factloom.storage import exists
 
 ARROW = "->"
 
@@ -22,15 +23,22 @@ class Store:
         return f"{self.folder}/{name}"
 
     def _exists(self, name: str) -> bool:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._path(name))
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        return exists(self.spark, self._path(name))
 
-    def insert_facts(self, definitions: DataFrame, edges: DataFrame, roots: DataFrame, snapshot: str = "main", version: int = 0) -> None:
-        """version orders writes of definitions: of rows with one id the highest version counts."""
+    def insert_facts(self, definitions: DataFrame, edges: DataFrame, roots: DataFrame, snapshot: str = "main", version: int | None = None) -> None:
+        """version orders writes of definitions: of rows with one id the highest version counts. By default a write is newer than all before."""
+        if version is None:
+            version = self._newest() + 1
         definitions.withColumn("version", F.lit(version)).write.mode("append").parquet(self._path("definitions"))
         for name, df in (("edges", edges), ("roots", roots)):
             df.write.mode("overwrite").parquet(f"{self._path(name)}/snapshot={snapshot}")
 
+    def _newest(self) -> int:
+        if not self._exists("definitions"):
+            return -1
+        found = self.spark.read.schema("version int").parquet(self._path("definitions")).agg(F.max("version")).first()[0]
+        return -1 if found is None else found
+
     def definitions(self) -> DataFrame:
         if not self._exists("definitions"):
             return self.spark.createDataFrame([], schemas.DEFINITIONS)

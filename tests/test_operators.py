@@ -124,10 +124,10 @@ def test_coalescing_follows_the_greedy_order(seed):
 
 
 def test_symbol_functions(spark):
-    rows = spark.createDataFrame([("std::vec::Vec::<T>::push",), ("<app::X as std::fmt::Display>::fmt",), ("<&mut std::io::Stdout as W>::write",), ("a<b<c>",), ("x::f<fn(A) -> B>::g",), ("plain",)], "s string")
+    rows = spark.createDataFrame([("std::vec::Vec::<T>::push",), ("<app::X as std::fmt::Display>::fmt",), ("<&mut std::io::Stdout as W>::write",), ("a<b<c>",), ("x::f<fn(A) -> B>::g",), ("plain",), ("a" + "<q" * 40 + ">" * 40 + "::b",), ("a<b::c",), ("a>b",)], "s string")
     got = rows.select(S.strip_generics(F.col("s")), S.leading_crate(F.col("s")), S.trusted_pure(F.col("s")), S.package_of(F.col("s")), S.leaf_name(F.col("s")), F.array_sort(S.segment_runs(F.lit("a::b::c")))).collect()
-    assert [r[0] for r in got][:4] == ["std::vec::Vec::push", "::fmt", "::write", "a"] and [r[1] for r in got] == ["std", "app", "std", None, "x", None]
-    assert [r[2] for r in got] == [True, True, True, False, False, False] and got[0][5] == ["a", "a::b", "a::b::c", "b", "b::c", "c"]
+    assert [r[0] for r in got][:4] == ["std::vec::Vec::push", "::fmt", "::write", "a"] and [r[0] for r in got][6:] == ["a::b", "a", "a>b"] and [r[1] for r in got][:6] == ["std", "app", "std", None, "x", None]
+    assert [r[2] for r in got][:6] == [True, True, True, False, False, False] and got[0][5] == ["a", "a::b", "a::b::c", "b", "b::c", "c"]
     assert spark.range(1).select(S.round_half_away(F.lit(1.004), 2), S.round_half_away(F.lit(-0.125), 2)).first()[:] == (1.0, -0.13)
 
 
@@ -222,3 +222,19 @@ def test_type_strings():
     assert p.parse("{ close(): void; get(id: string): Promise<User> }")[0] == {"model": "Handle"} and [o["name"] for o in p.minted_interfaces["Handle"]] == ["close", "get"]
     assert p.parse("(x: number) => string") == ("Json", True) and p.reasons["non-void callback"] == 1
     assert p.parse("/* c */ 'a|b' // d\n | \"x\"")[0] == "string"
+
+
+def test_near_misses(spark):
+    rows = spark.createDataFrame([("a::Parse", "Parse", False), ("b::x", "reparse_all", False), ("c::y", None, False), ("d::z", "z", True)], "id string, display string, external boolean")
+    near = lambda p, n=5: [r[0] for r in graph.near_misses(rows, p, n).collect()]
+    assert near("PARSE") == ["a::Parse", "b::x"] and near("parsers") == ["a::Parse", "b::x", "c::y"] and near("parsers", 1) == ["a::Parse"]
+
+
+def test_long_chains_end(spark, monkeypatch):
+    """Tables of rounds are merged in levels and lose nothing; a chain of 40,000 condenses in linear time."""
+    monkeypatch.setattr(fixpoint, "MERGE", 2)
+    chain = [(f"n{i:03}", f"n{i + 1:03}") for i in range(13)]
+    got = fixpoint.reach(edges(spark, chain), spark.createDataFrame([("n000",)], "id string")).collect()
+    assert {r["id"]: r["hops"] for r in got} == {f"n{i:03}": i for i in range(14)}
+    long = graph.condense_local([(i, i + 1) for i in range(40_000)])
+    assert len(long) == 40_001 and max(level for *_, level in long) == 40_000
