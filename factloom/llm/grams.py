@@ -150,7 +150,7 @@ def gram_sets(col: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 def squeeze(x: np.ndarray) -> bytes:
     """Compressed bytes of an array, byte by byte of its elements (their high bytes are mostly alike)."""
     x = np.ascontiguousarray(x)
-    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
 
 
 def unsqueeze(raw: bytes, kind: type) -> np.ndarray:

@@ -573,3 +573,11 @@ def test_pipeline_against_its_operators(spark):
 def test_every_operator_has_a_query():
     names = queries.queries()
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+
+
+def test_squeezed_arrays_return_empty_ones_included():
+    from factloom.llm.grams import ascending, from_ascending, squeeze, unsqueeze
+
+    for kind in (np.uint8, np.uint32, np.uint64):
+        for a in (np.zeros(0, kind), np.arange(5, dtype=kind)):
+            assert unsqueeze(squeeze(a), kind).tolist() == from_ascending(ascending(a), kind).tolist() == a.tolist()
