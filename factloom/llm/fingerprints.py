@@ -14,8 +14,10 @@ it pairs with and its best score.  similar_documents() has the pairs themselves,
 
 That last rule is the index: documents meet only in buckets of (block size, seven characters).  What occurs in one
 document only is dropped before signatures travel; in the lists that remain, an upper bound of the common subsequence
-(a matrix product of letter counts) precedes the exact bit-parallel one.  Equal fingerprints are collapsed first, so a
-group of exact copies is one entry everywhere.  No list and no partner is capped.
+(a matrix product of letter counts) precedes the exact bit-parallel one.  Lists are read in order, their pairs are made in
+blocks and leave as they are found, each from the list of the smallest key that it shares: a worker holds one list, never
+its pairs.  Equal fingerprints are collapsed first, so a group of exact copies is one entry everywhere.  No list and no
+partner is capped.
 
 Defined cases: null and empty texts have no fingerprint and no row; a signature with fewer than seven characters has no
 near partners, and where both of a fingerprint are that short, equal texts (by a hash) are its partners in
@@ -47,6 +49,8 @@ MIN_SCORE = 70
 LENGTH = 64
 GRAM = 7
 BUCKET_ENTRIES = 1_500_000
+PAIRS = 1 << 16
+SHORT_LIST = 64
 SCHEMA = "doc_id bigint, block_size bigint, signature string, signature2 string"
 _LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 _CODE = np.zeros(256, np.uint8)
@@ -245,42 +249,111 @@ def score_of(common: np.ndarray, a: np.ndarray, b: np.ndarray, level: np.ndarray
     return np.minimum(score, level // 3 * np.minimum(a, b)) if limited else score
 
 
+def _text_keys(codes: np.ndarray, size: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Ascending 40-bit keys of every signature, each once, padded with the largest number."""
+    out = np.full((len(codes), LENGTH - GRAM + 1), ~U(0))
+    row, key = _keys(codes, size, block)
+    at = np.searchsorted(row, np.arange(len(codes)))
+    out[row, np.arange(len(row)) - at[row]] = key >> U(24)
+    return out
+
+
+def _least_common(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The smallest key that both rows have (each pair has one)."""
+    both = np.sort(np.concatenate((one, two), axis=1), axis=1)
+    first = (both[:, 1:] == both[:, :-1]).argmax(axis=1)
+    return both[np.arange(len(both)), first]
+
+
+def _unary(letters: np.ndarray, most: int) -> np.ndarray:
+    return np.concatenate([(letters > k).astype(np.float32) for k in range(most)], axis=1)
+
+
+def _list_hits(gram: np.ndarray, rep: np.ndarray, level: np.ndarray, text: pa.Array, min_score: int, limited: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rep_a, rep_b, score) of the pairs within each list of entries with equal gram, up to 65,536 at a time.
+
+    A pair that shares several keys is reported in the list of the smallest one only.
+    """
+    words = text.dictionary_encode()
+    _, first, entry = np.unique(words.indices.to_numpy().astype(np.int64) + level * len(words.dictionary), return_index=True, return_inverse=True)
+    codes, size = _codes(text.take(pa.array(first)).to_pylist())
+    masks = np.zeros((len(first), 65), U)
+    for c in range(LENGTH):
+        inside = np.flatnonzero(size > c)
+        masks[inside, codes[inside, c]] |= U(1) << U(c)
+    letters = np.zeros((len(first), 64), np.uint8)
+    np.add.at(letters, (np.nonzero(codes < 64)[0], codes[codes < 64]), 1)
+    keys = _text_keys(codes, size, level[first])
+    gram = gram.view(U)
+
+    def hits(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for s in range(0, len(i), PAIRS):
+            p, q = i[s : s + PAIRS], j[s : s + PAIRS]
+            keep = (rep[p] != rep[q]) & (level[p] == level[q])
+            for m in range(4):  # most pairs with a smaller common key are known by their four smallest
+                k = keys[entry[p], m]
+                same = (k[:, None] == keys[entry[q], :4]).any(axis=1)
+                keep &= ~(same & (k < gram[p]))
+            p, q = p[keep], q[keep]
+            x, y = entry[p], entry[q]
+            score = score_of(common_subsequence(masks, size, codes, x, y), size[x], size[y], level[p], limited)
+            hit = np.flatnonzero(score >= min_score)
+            parts = [hit[k : k + 4096] for k in range(0, len(hit), 4096)]
+            own = [h[_least_common(keys[x[h]], keys[y[h]]) == gram[p[h]]] for h in parts]
+            for h in [np.concatenate(own)] if own else []:
+                yield np.minimum(rep[p[h]], rep[q[h]]), np.maximum(rep[p[h]], rep[q[h]]), score[h]
+
+    def near(x: np.ndarray, y: np.ndarray, common: np.ndarray) -> np.ndarray:
+        return 2 * common >= np.float32(min_score / 100) * (size[x] + size[y]).astype(np.float32) - np.float32(1e-3)
+
+    at = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+    count = np.diff(np.append(at, len(gram)))
+    left = np.repeat(at + count, count) - np.arange(len(gram))  # entries from here to the end of the list
+    left[np.repeat(count > SHORT_LIST, count)] = 0
+    for d in range(1, min(SHORT_LIST, int(left.max(initial=0)))):
+        every = np.flatnonzero(left > d)
+        for s in range(0, len(every), PAIRS):
+            i = every[s : s + PAIRS]
+            x, y = entry[i], entry[i + d]
+            i = i[near(x, y, np.minimum(letters[x], letters[y]).sum(axis=1, dtype=np.int64))]
+            yield from hits(i, i + d)
+    for lo, hi in zip(at[count > SHORT_LIST], (at + count)[count > SHORT_LIST]):
+        # the product of two rows of unary letter counts bounds their common subsequence from above
+        most = int(letters[entry[lo:hi]].max())
+        for a in range(lo, hi, 512):
+            x = entry[a : min(a + 512, hi)]
+            left_side = _unary(letters[x], most)
+            for b in range(a, hi, 2048):
+                y = entry[b : min(b + 2048, hi)]
+                i, j = np.nonzero(near(x[:, None], y[None, :], left_side @ _unary(letters[y], most).T))
+                i, j = a + i, b + j
+                yield from hits(i[i < j], j[i < j])
+
+
 def _compare(min_score: int, limited: bool):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["gram", "rep", "level"], kind="stable")
-        texts, entry = np.unique(frame["text"].to_numpy(dtype=object), return_inverse=True)
-        codes, size = _codes(list(texts))
-        masks = np.zeros((len(texts), 65), U)
-        for c in range(LENGTH):
-            inside = np.flatnonzero(size > c)
-            masks[inside, codes[inside, c]] |= U(1) << U(c)
-        # unary letter counts: the product of two rows bounds their common subsequence from above
-        letters = np.zeros((len(texts), 64), np.uint8)
-        np.add.at(letters, (np.nonzero(codes < 64)[0], codes[codes < 64]), 1)
-        unary = np.concatenate([(letters > k).astype(np.float32) for k in range(int(letters.max(initial=1)))], axis=1)
-        rep, level = frame["rep"].to_numpy(), frame["level"].to_numpy()
-        gram = frame["gram"].to_numpy()
-        at = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
-        out = []
-        for lo, hi in zip(at, np.append(at[1:], len(gram))):
-            e, r, l = entry[lo:hi], rep[lo:hi], level[lo:hi]
-            for a in range(0, len(e), 512):
-                x = e[a : a + 512]
-                for b in range(a, len(e), 8192):
-                    y = e[b : b + 8192]
-                    bound = unary[x] @ unary[y].T
-                    i, j = np.nonzero(2 * bound >= min_score / 100 * (size[x][:, None] + size[y][None, :]) - 1e-3)
-                    keep = (a + i < b + j) & (r[a + i] != r[b + j]) & (l[a + i] == l[b + j])
-                    i, j = a + i[keep], b + j[keep]
-                    for s in range(0, len(i), 1 << 18):
-                        p, q = i[s : s + (1 << 18)], j[s : s + (1 << 18)]
-                        score = score_of(common_subsequence(masks, size, codes, e[p], e[q]), size[e[p]], size[e[q]], l[p], limited)
-                        hit = score >= min_score
-                        p, q = r[p[hit]], r[q[hit]]
-                        out.append(pd.DataFrame({"rep_a": np.minimum(p, q), "rep_b": np.maximum(p, q), "score": score[hit]}))
-        if not out:
-            return pd.DataFrame({"rep_a": pd.Series(dtype="int64"), "rep_b": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
-        return pd.concat(out).groupby(["rep_a", "rep_b"], as_index=False).max()
+    """Pairs of entries that come ordered by gram; held at a time are a batch, the longest list and a block of its pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).combine_chunks()
+            if len(t):
+                found = _list_hits(*(t.column(c).to_numpy() for c in range(3)), t.column(3).combine_chunks(), min_score, limited)
+                for some in found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in some], names=["rep_a", "rep_b", "score"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            gram = batch.column(0).to_numpy()
+            if held and held[-1].column(0)[0].as_py() == gram[-1]:
+                held.append(batch)  # of the same list
+                continue
+            cut = int(np.searchsorted(gram, gram[-1]))
+            yield from pairs([*held, batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+        if held:
+            yield from pairs(held)
 
     return run
 
@@ -327,8 +400,8 @@ def _found(prints: DataFrame, same: list[str], min_score: int, bucket_entries: i
     buckets = partitions_for(reps.count() * 60, bucket_entries)
     shared = levels.mapInArrow(_entries(buckets), ENTRIES).groupBy("bucket").applyInPandas(_shared, "home bigint, keys binary, place binary, reps binary, levels binary, texts binary")
     met = shared.groupBy("home").applyInPandas(_at_home, "gram bigint, rep bigint, level bigint, text string")
-    met = met.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(4 * buckets))).repartition(4 * buckets, "bucket")
-    found = met.groupBy("bucket").applyInPandas(_compare(min_score, limited), "rep_a bigint, rep_b bigint, score bigint").repartition("rep_a").groupBy("rep_a", "rep_b").agg(F.max("score").alias("score"))
+    met = met.repartition(4 * buckets, "gram").sortWithinPartitions("gram")
+    found = met.mapInArrow(_compare(min_score, limited), "rep_a bigint, rep_b bigint, score bigint").repartition("rep_a").groupBy("rep_a", "rep_b").agg(F.max("score").alias("score"))
     members = prints.select("doc_id", *same).distinct().join(small_side(reps, 256), same).select("doc_id", "rep")
     return shared_table(members, "fingerprint-members"), found
 

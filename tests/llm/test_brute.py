@@ -7,6 +7,7 @@ import io
 import os
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -245,6 +246,50 @@ def test_short_near_copies(spark):
     assert (1, 2) in want and sum(b == a + 1 for a, b in want) > 40
 
 
+def entries(texts: list[str], level: int = 3) -> pa.RecordBatch:
+    """Each text under each key that it shares with another, as _compare() gets them."""
+    row, key = fingerprints._keys(*fingerprints._codes(texts), np.full(len(texts), level))
+    frame = pd.DataFrame({"gram": (key >> np.uint64(24)).view(np.int64), "rep": row, "level": level, "text": [texts[i] for i in row]})
+    frame = frame[frame.duplicated("gram", keep=False)].sort_values("gram", kind="stable")
+    return pa.RecordBatch.from_pandas(frame, preserve_index=False)
+
+
+def test_compare_holds_no_list_of_pairs():
+    """Every pair of 2,000 signatures with one common key is found, without ever holding all two million."""
+    r, letters = random.Random(3), fingerprints._LETTERS.tobytes().decode()
+    batch = entries(["".join(r.choices(letters, k=50)) + "abcdefg" for _ in range(2000)])
+    tracemalloc.start()
+    n, largest = 0, 0
+    for out in fingerprints._compare(10, False)(iter([batch.slice(k, 300) for k in range(0, len(batch), 300)])):
+        n, largest = n + len(out), max(largest, len(out))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 2000 * 1999 // 2 and largest <= fingerprints.PAIRS and peak < 64 << 20
+
+
+def test_compare_reports_a_pair_once():
+    """Signatures that share dozens of keys, in short and long lists, against all pairs."""
+    r, letters = random.Random(4), fingerprints._LETTERS.tobytes().decode()
+    texts = []
+    for n in (90, 20, 3):
+        base = "".join(r.choices(letters, k=60))
+        for _ in range(n):
+            t = list(base)
+            for _ in range(r.randint(1, 5)):
+                t[r.randrange(60)] = r.choice(letters)
+            texts.append("".join(t))
+    runs = [{t[i : i + 7] for i in range(len(t) - 6)} for t in texts]
+    want = {}
+    for i, a in enumerate(texts):
+        for j in range(i):
+            if runs[i] & runs[j] and (score := 200 * subsequence(a, texts[j]) // (len(a) + len(texts[j]))) >= 70:
+                want[j, i] = score
+    batch = entries(texts)
+    for step in (7, 500, len(batch)):
+        got = [x for out in fingerprints._compare(70, False)(iter([batch.slice(k, step) for k in range(0, len(batch), step)])) for x in zip(*(c.to_pylist() for c in out))]
+        assert len(got) == len(want) and {(a, b): s for a, b, s in got} == want
+
+
 def test_fingerprint_survives_local_edits():
     text = " ".join(f"word{random.Random(5).randint(0, 9)}{i * 7919 % 1000}" for i in range(600))
     edited = text[:2000] + " inserted " + text[2000:]
