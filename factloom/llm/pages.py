@@ -7,8 +7,9 @@ footers, banners - are deleted; what remains is the page's own text.
 
 The neighbours come from one range partitioning of (host, path, id), not from a window per host, so a host with most of
 the crawl is spread over all tasks; the rows at the edges of the ranges are patched by a table of one row per range.
-A page's markup is parsed once; its lines are kept as hashes and compressed text, and only the hashes of the partner's lines
-travel to it, by an equi-join on row numbers that is the same at every size.  The alignment is bit-parallel
+A page's markup is parsed twice, so that its text is never kept: the first reading keeps hashes of its lines, and the hashes
+of the partner's lines then meet the compressed text of the second reading, by an equi-join on 128 bits of (id, url, html)
+that is the same at every size.  So the pages must not change between the readings, which raises.  The alignment is bit-parallel
 over Python integers after dropping lines that the other page doesn't have; rows of the dynamic programme are kept at
 checkpoints only and recomputed between them, so memory grows with the square root of a page's lines.
 
@@ -134,37 +135,40 @@ def own_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("one", F.xxhash64("page_id", "url", "html")).withColumn("two", F.xxhash64(F.lit(1), "page_id", "url", "html"))
 
-    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = pa.array([_hashes(lines_of(page.as_py())).tobytes() for page in batch.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 3, 4)), lines], names=["page_id", "url", "one", "two", "lines"])
+
+    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zipper = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            lines, bodies = [], []
-            for page in batch.column(2):
-                own = lines_of(page.as_py())
-                lines.append(_hashes(own).tobytes())
-                bodies.append(zipper.compress("\n".join(own).encode()))
-            columns = [*(batch.column(i) for i in (0, 1, 3, 4)), pa.array(lines, pa.binary()), pa.array(bodies, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "one", "two", "lines", "body"])
-
-    lines = rows.mapInArrow(parsed, "page_id bigint, url string, one bigint, two bigint, lines binary, body binary")
-    lines = shared_table(lines.withColumn("key", F.monotonically_increasing_id()), "page-lines")
-    once = shared_table(lines.groupBy("page_id", "url", "one", "two").agg(F.min("key").alias("key")), "page-keys")  # rows that repeat count once
+            body = pa.array([zipper.compress("\n".join(lines_of(page.as_py())).encode()) for page in batch.column(0)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), body], names=["one", "two", "body"])
+
+    once = rows.mapInArrow(hashed, "page_id bigint, url string, one bigint, two bigint, lines binary").dropDuplicates(["page_id", "url", "one", "two"])  # rows that repeat count once
+    once = shared_table(once.withColumn("key", F.monotonically_increasing_id()), "page-lines")
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]+)", 1))
     path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)", 1)
     urls = once.select("key", host.alias("host"), path.alias("path"), "url", "page_id", "one", "two").filter("host <> ''")
     partner = _neighbours(urls, ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))).filter("partner IS NOT NULL")
-    other = lines.select(F.col("key").alias("partner"), F.col("page_id").alias("partner_id"), F.col("lines").alias("other"))
-    found = once.select("key").join(partner.join(other, "partner"), "key", "left").select("key", "partner_id", "other")
-    met = lines.select("key", "page_id", "lines", "body").join(found, "key")
+    other = once.select(F.col("key").alias("partner"), F.col("page_id").alias("partner_id"), F.col("lines").alias("other"))
+    found = once.select("key", "page_id", "one", "two").join(partner.join(other, "partner"), "key", "left").drop("key", "partner")
+    text = rows.select("html", "one", "two").mapInArrow(bodies, "one bigint, two bigint, body binary")
+    met = found.join(text, ["one", "two"], "left").dropDuplicates(["one", "two"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             columns: list[list] = [[], [], []]
-            for hashes, body, other in zip(batch.column(1), batch.column(2), batch.column(4)):
-                own, text = np.frombuffer(hashes.as_py(), np.uint64).tolist(), unzip.decompress(body.as_py()).decode().split("\n")
-                gone = set(shared_lines(own, np.frombuffer(other.as_py(), np.uint64).tolist())) if other.is_valid else set()
-                for c, x in zip(columns, (len(own), len(gone), "\n".join(line for i, line in enumerate(text) if i not in gone))):
+            for body, other in zip(batch.column(2), batch.column(3)):
+                if not body.is_valid:
+                    raise ValueError("a page of the first reading isn't in the second")
+                text = unzip.decompress(body.as_py()).decode()
+                own = text.split("\n") if text else []
+                gone = set(shared_lines(_hashes(own).tolist(), np.frombuffer(other.as_py(), np.uint64).tolist())) if other.is_valid else set()
+                for c, x in zip(columns, (len(own), len(gone), "\n".join(line for i, line in enumerate(own) if i not in gone))):
                     c.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string())], names=["page_id", "partner_id", "n_lines", "n_shared", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string())], names=["page_id", "partner_id", "n_lines", "n_shared", "text"])
 
-    return met.select("page_id", "lines", "body", "partner_id", "other").mapInArrow(cut, SCHEMA)
+    return met.select("page_id", "partner_id", "body", "other").mapInArrow(cut, SCHEMA)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import random
+from pathlib import Path
+
 import pytest
 
 import corpus_pipeline
 from factloom.llm import chat, fingerprints, jaccard, mixing, neardup, packing, pages, quality, toxicity, warc
+from factloom.storage import shared_dir
 from tests.llm import cases
 from tests.session import rows
 
@@ -91,6 +95,18 @@ def test_pages(spark):
     assert pages.own_text(table.limit(0)).isEmpty()
 
 
+def test_pages_keep_no_text(spark):
+    """What is kept of pages between the stages has hashes of their lines, not their text."""
+    r = random.Random(2)
+    data = [(k, f"http://h.example/a/{k}", "".join(f"<p>{r.getrandbits(4096):x}</p>" for _ in range(8))) for k in range(200)]
+    table = spark.createDataFrame(data, "page_id bigint, url string, html string")
+    at = Path(shared_dir(spark).removeprefix("file://"))
+    size = lambda: sum(p.stat().st_size for p in at.rglob("*.parquet"))
+    before = size()
+    out = pages.own_text(table)
+    assert out.count() == 200 and size() - before < 0.25 * sum(len(d[2]) for d in data)
+
+
 def test_embeddings(spark):
     nan, inf = float("nan"), float("inf")
     data = [
