@@ -62,20 +62,53 @@ def carries_effects(edges: DataFrame) -> DataFrame:
     return edges.filter(F.col("kind").isin("call", "reference"))
 
 
-def effect_closure(edges: DataFrame, roots: DataFrame, max_rounds: int | None = None) -> DataFrame:
+#: So many effects go through the rounds together, as the bits of one long.
+MASK_BITS = 60
+
+
+def effect_closure(edges: DataFrame, roots: DataFrame, max_rounds: int | None = None, paths: bool = True) -> DataFrame:
     """(symbol, effect, path): each effect a symbol reaches and a shortest evidence path from it to a root.
 
     Both ends are in the path; a root's own path is itself.  Of equally short paths the one whose next hop is the
-    smallest is taken, at every hop.
+    smallest is taken, at every hop.  A round sends one row over each edge whose callee is new: the callee and the bits of
+    its new effects.  Paths are put together from the next hops, per symbol; without `paths` the column is left out.
     """
-    uses = shared_table(carries_effects(edges).select("caller", "callee").distinct(), "uses")
-    seed = roots.select("symbol", "effect").distinct().withColumn("path", F.array("symbol"))
-
-    def step(new: DataFrame) -> DataFrame:
-        met = uses.join(new, uses["callee"] == new["symbol"]).groupBy("caller", "effect").agg(F.min_by("path", "callee").alias("path"))
-        return met.select(F.col("caller").alias("symbol"), "effect", F.concat(F.array("caller"), "path").alias("path"))
-
-    return semi_naive(seed, step, ["symbol", "effect"], max_rounds)
+    uses = carries_effects(edges)
+    uses = uses if hasattr(edges, "shared_path") else shared_table(uses.select("caller", "callee"), "uses")
+    uses = uses.select("caller", "callee").filter("caller IS NOT NULL AND callee IS NOT NULL")
+    names = sorted((r[0] for r in roots.select("effect").distinct().collect()), key=lambda e: (e is not None, e))  # a vocabulary
+    groups = [names[i : i + MASK_BITS] for i in range(0, len(names), MASK_BITS)] or [[]]
+    return reduce(DataFrame.unionByName, [_closure(uses, roots, g, max_rounds, paths) for g in groups])
+
+
+def _closure(uses: DataFrame, roots: DataFrame, names: list[str], max_rounds: int | None, paths: bool) -> DataFrame:
+    bits = roots.sparkSession.createDataFrame([(e, 1 << i) for i, e in enumerate(names)], "name string, bit long")
+    met = roots.join(F.broadcast(bits), F.col("effect").eqNullSafe(F.col("name")))  # a row per effect
+    new = shared_table(met.groupBy("symbol").agg(F.bit_or("bit").alias("mask")), "closure-new")
+    rows = lambda t: t.select("symbol", "mask", F.explode(F.array(*[F.struct(F.lit(e).cast("string").alias("effect"), F.lit(1 << i).alias("bit"), (F.col(f"next{i}") if paths and f"next{i}" in t.columns else F.lit(None).cast("string")).alias("next")) for i, e in enumerate(names)])).alias("x")).filter("mask & x.bit <> 0").select("symbol", "x.effect", "x.next") if names else t.select("symbol", F.lit("").alias("effect"), F.lit(None).cast("string").alias("next"))
+    out, known = Rounds("closure"), new
+    out.add(shared_table(rows(new).select("symbol", "effect", F.array("symbol").alias("path")), "closure") if paths else new)
+    last = out.parts[0][1]
+    for _ in rounds(max_rounds):
+        if new.isEmpty():
+            return out.all() if paths else rows(known).select("symbol", "effect")
+        sent = uses.join(new.select(F.col("symbol").alias("callee"), "mask"), "callee")
+        had = known.select(F.col("symbol").alias("caller"), F.col("mask").alias("had"))
+        fresh = F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long"))))
+        if paths:
+            gain = sent.join(had, "caller", "left").select("caller", "callee", fresh.alias("mask")).filter("mask <> 0")
+            hops = [F.min(F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0, F.col("callee"))).alias(f"next{i}") for i in range(len(names))]
+            gain = gain.groupBy("caller").agg(F.bit_or("mask").alias("mask"), *hops)
+        else:
+            gain = sent.groupBy("caller").agg(F.bit_or("mask").alias("mask")).join(had, "caller", "left").select("caller", fresh.alias("mask")).filter("mask <> 0")
+        new = shared_table(gain.withColumnRenamed("caller", "symbol"), "closure-new")
+        if paths:
+            far = last.select(F.col("symbol").alias("next"), "effect", F.col("path").alias("rest"))
+            last = shared_table(rows(new).join(far, ["next", "effect"]).select("symbol", "effect", F.concat(F.array("symbol"), "rest").alias("path")), "closure")
+            out.add(last)
+        both = known.select("symbol", "mask").unionByName(new.select("symbol", "mask")).groupBy("symbol").agg(F.bit_or("mask").alias("mask"))
+        known = shared_table(both, "closure-known")
+    raise RuntimeError(f"no fixpoint within {max_rounds} rounds")
 
 
 def reach(edges: DataFrame, start: DataFrame, kinds: tuple[str, ...] = EDGE_KINDS, max_rounds: int | None = None) -> DataFrame:

@@ -27,15 +27,11 @@ POLICY = Policy(
 )
 
 
-def _roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame(spark, sf_dir, ROOTS_WITH_UNKNOWN)
-
-
 ROOTS_WITH_UNKNOWN = "SELECT symbol, effect FROM {v_roots} UNION SELECT callee, 'unknown' FROM {v_edges} WHERE kind <> 'type' AND (callee LIKE 'lib%' OR resolution = 'unresolved')"
 
 
 def effects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return effect_closure(frame(spark, sf_dir, "v_edges"), frame(spark, sf_dir, "v_roots")).select("symbol", "effect")
+    return effect_closure(frame(spark, sf_dir, "v_edges"), frame(spark, sf_dir, "v_roots"), paths=False)
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +40,7 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def effect_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = effect_closure(frame(spark, sf_dir, "v_edges"), frame(spark, sf_dir, "v_roots"))
+    found = effect_closure(frame(spark, sf_dir, "v_edges"), frame(spark, sf_dir, "v_roots"), paths=False)
     return found.groupBy("symbol").agg(F.array_join(F.array_sort(F.collect_set("effect")), ",").alias("effects"), F.count("*").alias("n"))
 
 
@@ -60,8 +56,8 @@ def unknowns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    defs, edges = frame(spark, sf_dir, "v_defs"), frame(spark, sf_dir, "v_edges")
-    summaries = shared_table(effect_closure(edges, _roots(spark, sf_dir)), "summaries")
+    defs, edges = frame(spark, sf_dir, "v_defs"), shared_table(frame(spark, sf_dir, "v_edges").select("caller", "callee", "kind", "resolution"), "edges")
+    summaries = effect_closure(edges, frame(spark, sf_dir, ROOTS_WITH_UNKNOWN, v_edges=edges))
     found = policy_violations(defs, edges, summaries, POLICY)
     return found.select("symbol", "file", "region", "effect", F.array_join("evidence", " -> ").alias("evidence"), "callee", "flavor", "severity", "message")
 
