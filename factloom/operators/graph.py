@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from factloom.functions.symbols import leaf_name, package_of
+from factloom.operators.components import connected_components
 from factloom.operators.fixpoint import Rounds, reach, reach_pairs, rounds, semi_naive
 from factloom.schemas import UNKNOWN
-from factloom.storage import shared_table
-
+from factloom.storage import forget, shared_table
 
 
 def _sorted_set(column: str | Column) -> Column:
@@ -132,8 +132,8 @@ def layers(nodes: DataFrame, pairs: DataFrame, max_rounds: int | None = None) ->
 SMALL_EDGES = 200_000
 
 
-def condense_local(pairs: list[tuple[str, str]]) -> list[tuple[str, str, int]]:
-    """(id, component, level) of all ends of the pairs, by Tarjan's algorithm without recursion."""
+def condense_local(pairs: list[tuple], base: dict = {}) -> list[tuple]:  # noqa: B006
+    """(id, component, level) of all ends of the pairs, by Tarjan's algorithm without recursion; a node's level is at least its base."""
     out: dict[str, list[str]] = {}
     for a, b in pairs:
         out.setdefault(a, []).append(b)
@@ -169,7 +169,7 @@ def condense_local(pairs: list[tuple[str, str]]) -> list[tuple[str, str, int]]:
                         members.append(stack.pop())
                     name = min(members)
                     of.update(dict.fromkeys(members, name))
-                    level[name] = max((level[of[y]] + 1 for m in members for y in out[m] if of[y] != name), default=0)
+                    level[name] = max(max(base.get(m, 0) for m in members), max((level[of[y]] + 1 for m in members for y in out[m] if of[y] != name), default=0))
     return [(x, c, level[c]) for x, c in of.items()]
 
 
@@ -183,10 +183,117 @@ def _levels(nodes: DataFrame, pairs: DataFrame, small_edges: int) -> DataFrame:
         found = pairs.filter("caller <> callee").withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, "id string, component string, level int")
         met = nodes.join(found, "id", "left")
         return met.select("id", F.coalesce("component", "id").alias("component"), F.coalesce("level", F.lit(0)).alias("level"))
-    comp = shared_table(strongly_connected(nodes, pairs), "components")
-    lifted = pairs.join(comp.select(F.col("id").alias("caller"), F.col("component").alias("a")), "caller").join(comp.select(F.col("id").alias("callee"), F.col("component").alias("b")), "callee")
-    level = layers(comp.select(F.col("component").alias("id")), lifted.filter("a <> b").select(F.col("a").alias("caller"), F.col("b").alias("callee")))
-    return comp.join(level.select(F.col("id").alias("component"), F.col("wave").alias("level")), "component")
+    return _levels_by_rounds(nodes, pairs, small_edges)
+
+
+def _number(ids: DataFrame):  # noqa: ANN202
+    """The 64-bit hash of an id, as a function of its column, under the first seed that gives no two ids the same."""
+    for seed in rounds(None):
+        of = lambda c, seed=seed: F.xxhash64(F.lit(seed), F.col(c))
+        if ids.groupBy(of("id").alias("n")).count().filter("count > 1").isEmpty():
+            return of
+
+
+def _peel(state: DataFrame, edges: DataFrame, out: Rounds, small_edges: int) -> tuple[DataFrame, DataFrame]:
+    """Levels of nodes without a dependency, then of those that are left without one, until cycles stop it: what remains of (state, edges).
+
+    state(n, deg, top) has each node's dependencies that have no level yet, and its least level by the others; an edge (a, b)
+    is met once, when b gets its level.  Edges are written again when half of them are done; as soon as few are left, one
+    task does the rest, cycles included.
+    """
+    left = kept = edges.count()
+    while True:
+        ready = shared_table(state.filter("deg = 0").select("n", F.col("n").alias("c"), F.col("top").alias("level")), "level")
+        few, stuck = 0 < left <= small_edges, ready.isEmpty()
+        if left < kept and (few or stuck or left < kept / 2):
+            before, kept = edges, left
+            edges = shared_table(edges.join(state.select(F.col("n").alias("b")), "b", "left_semi").select("a", "b"), "level-edges")
+            forget(before)
+        if few:
+            out.add(ready)
+            out.add(shared_table(_finish(state, edges), "level"))
+            return state.limit(0), edges
+        if stuck:
+            return state, edges
+        out.add(ready)
+        done = edges.join(ready.select(F.col("n").alias("b"), "level"), "b").groupBy(F.col("a").alias("n")).agg(F.count("*").alias("gone"), (F.max("level") + 1).alias("up"))
+        before = state
+        state = state.filter("deg > 0").join(done, "n", "left").select("n", (F.col("deg") - F.coalesce("gone", F.lit(0))).alias("deg"), F.greatest("top", F.coalesce("up", F.lit(0))).alias("top"))
+        state = shared_table(state, "level-state")
+        forget(before)
+        left = state.agg(F.sum("deg")).first()[0] or 0
+
+
+def _finish(state: DataFrame, edges: DataFrame) -> DataFrame:
+    """(n, c, level) of the nodes that still have dependencies, in one task."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        ready = set(frame["b"]) - set(frame["a"])
+        base = dict(zip(frame["a"], frame["top"])) | dict(zip(frame["b"], frame["under"]))
+        return pd.DataFrame([r for r in condense_local(list(zip(frame["a"], frame["b"])), base) if r[0] not in ready], columns=["n", "c", "level"])
+
+    met = edges.join(state.select(F.col("n").alias("a"), "top"), "a").join(state.select(F.col("n").alias("b"), F.col("top").alias("under")), "b")
+    return met.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, "n long, c long, level int")
+
+
+def _cycles(edges: DataFrame, small_edges: int) -> DataFrame:
+    """(n, c) of the nodes of cycles; c is the smallest n of its component.
+
+    What has no dependent is cut off, and the rest falls into weakly connected parts: small ones are gathered in tasks of
+    about small_edges edges, large ones take the rounds of strongly_connected().
+    """
+    core, n = edges, edges.count()
+    while n > small_edges:
+        smaller = shared_table(core.join(core.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a", "b"), "core")
+        before, n = n, smaller.count()
+        core = smaller
+        if n > 0.9 * before:
+            break
+    part = shared_table(connected_components(core, "a", "b"), "core-parts")
+    core = shared_table(core.join(part.select(F.col("node").alias("a"), F.col("component").alias("w")), "a"), "core")
+    sizes = core.groupBy("w").agg(F.count("*").alias("size"))
+    large = shared_table(sizes.filter(F.col("size") > small_edges).select("w"), "core-large")
+    bins = max(1, -(-n * 4 // max(small_edges, 1)))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([r[:2] for r in condense_local(list(zip(frame["a"], frame["b"])))], columns=["n", "c"])
+
+    found = core.join(large, "w", "left_anti").withColumn("bin", F.pmod(F.xxhash64("w"), F.lit(bins))).groupBy("bin").applyInPandas(run, "n long, c long")
+    if not large.isEmpty():
+        rest = core.join(large, "w", "left_semi").select(F.col("a").alias("caller"), F.col("b").alias("callee"))
+        ends = rest.select(F.col("caller").alias("id")).union(rest.select("callee")).distinct()
+        found = found.unionByName(strongly_connected(ends, rest).select(F.col("id").alias("n"), F.col("component").alias("c")))
+    found = shared_table(found, "core-found")
+    return found.join(found.filter("n <> c").select("c").distinct(), "c", "left_semi").select("n", "c")
+
+
+def _levels_by_rounds(nodes: DataFrame, pairs: DataFrame, small_edges: int) -> DataFrame:
+    """_levels() of any number of edges: on numbers, from the nodes without dependencies up; where cycles stop it, they are found and become one node each."""
+    ids = shared_table(nodes.select("id").union(pairs.select("caller")).union(pairs.select("callee")).distinct(), "level-ids")
+    of = _number(ids)
+    edges = shared_table(pairs.filter("caller <> callee").select(of("caller").alias("a"), of("callee").alias("b")), "level-edges")
+    degree = edges.groupBy(F.col("a").alias("n")).agg(F.count("*").alias("deg"))
+    state = ids.select(of("id").alias("n")).join(degree, "n", "left").select("n", F.coalesce("deg", F.lit(0)).alias("deg"), F.lit(0).alias("top"))
+    out = Rounds("levels")
+    state, edges = _peel(shared_table(state, "level-state"), edges, out, small_edges)
+    at = None
+    if not state.isEmpty():
+        at = shared_table(_cycles(edges, small_edges), "cycles")
+        to = lambda c: at.select(F.col("n").alias(c), F.col("c").alias(c + "_c"))
+        lifted = edges.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b")).filter("a <> b").distinct()
+        lifted = shared_table(lifted, "level-edges")
+        forget(edges)
+        degree = lifted.groupBy(F.col("a").alias("n")).agg(F.count("*").alias("deg"))
+        state = state.join(to("n"), "n", "left").groupBy(F.coalesce("n_c", "n").alias("n")).agg(F.max("top").alias("top"))
+        state = state.join(degree, "n", "left").select("n", F.coalesce("deg", F.lit(0)).alias("deg"), "top")
+        _peel(shared_table(state, "level-state"), lifted, out, small_edges)
+    found = out.all()
+    if at is not None:  # members of a cycle have the level of the node that it became
+        found = found.select(F.col("n").alias("c0"), F.col("c").alias("c1"), "level").join(at.select("n", F.col("c").alias("c0")), "c0", "left").select(F.coalesce("n", "c0").alias("n"), F.col("c1").alias("c"), "level")
+    found = shared_table(ids.select("id", of("id").alias("n")).join(found, "n"), "levels")
+    several = found.join(found.filter("n <> c").select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.min("id").alias("component"))
+    named = found.join(several, "c", "left").select("id", F.coalesce("component", "id").alias("component"), "level")
+    return nodes.select("id").join(named, "id")
 
 
 def condensation(nodes: DataFrame, pairs: DataFrame, small_edges: int = SMALL_EDGES) -> DataFrame:
@@ -212,6 +319,18 @@ def transitive_counts(pairs: DataFrame) -> DataFrame:
     return reach_pairs(pairs).filter("src <> dst").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("transitive_dep_count"))
 
 
+def symbol_sets(definitions: DataFrame, edges: DataFrame, summaries: DataFrame) -> DataFrame:
+    """What file_rollup() needs of the symbol table: (id, file, loc, external, effect_roots, external_packages) of the definitions."""
+    own = definitions.select("id", "file", (F.greatest(F.col("line_end") - F.col("line_start"), F.lit(0)) + 1).alias("loc"), F.lit(False).alias("external"))
+    ends = edges.filter("caller <> callee").select(F.col("callee").alias("id")).distinct()
+    outside = ends.join(definitions.select("id"), "id", "left_anti").withColumnRenamed("id", "callee")
+    packages = edges.filter("caller <> callee").join(outside, "callee").groupBy(F.col("caller").alias("id")).agg(_sorted_set(package_of(F.col("callee"))).alias("external_packages"))
+    effects = summaries.groupBy(F.col("symbol").alias("id")).agg(_sorted_set("effect").alias("effect_roots"))
+    none = F.array().cast("array<string>")
+    met = own.join(effects, "id", "left").join(packages, "id", "left")
+    return met.withColumn("effect_roots", F.coalesce("effect_roots", none)).withColumn("external_packages", F.coalesce("external_packages", none))
+
+
 def file_rollup(symbols: DataFrame) -> DataFrame:
     """(path, symbol_count, loc, effect_roots, external_packages) from symbols with effect_roots and external_packages."""
     own = symbols.filter("NOT external AND file IS NOT NULL").groupBy(F.col("file").alias("path")).agg(

@@ -18,9 +18,9 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.graph_nodes(frame(spark, sf_dir, "v_defs"), frame(spark, sf_dir, "v_edges"))
 
 
-def _inner(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _inner(spark: SparkSession, sf_dir: str, **given: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = frame(spark, sf_dir, "v_defs").select("id")
-    return nodes, frame(spark, sf_dir, "SELECT DISTINCT caller, callee FROM {v_edges} WHERE caller IN (SELECT id FROM {v_defs}) AND callee IN (SELECT id FROM {v_defs}) AND caller <> callee")
+    return nodes, frame(spark, sf_dir, "SELECT caller, callee FROM {v_edges} WHERE caller IN (SELECT id FROM {v_defs}) AND callee IN (SELECT id FROM {v_defs}) AND caller <> callee", **given)
 
 
 def graph_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,17 +38,18 @@ def graph_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.edge_provenance(edges, _nodes(spark, sf_dir), roots).select("caller", "callee", "kind", "resolution", "provenance")
 
 
-def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = frame(spark, sf_dir, "v_edges")
-    return shared_table(G.symbol_table(frame(spark, sf_dir, "v_defs"), edges, effect_closure(edges, frame(spark, sf_dir, "v_roots"))), "symbols")
-
-
 def graph_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.file_rollup(_symbols(spark, sf_dir)).select("path", "symbol_count", "loc", join("effect_roots"), join("external_packages"))
+    defs, edges = frame(spark, sf_dir, "v_defs"), shared_table(frame(spark, sf_dir, "v_edges").select("caller", "callee", "kind"), "edges")
+    effects = effect_closure(edges, frame(spark, sf_dir, "v_roots"), paths=False)
+    return G.file_rollup(G.symbol_sets(defs, edges, effects)).select("path", "symbol_count", "loc", join("effect_roots"), join("external_packages"))
 
 
 def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.graph_stats(_symbols(spark, sf_dir), frame(spark, sf_dir, "v_edges"))
+    edges = shared_table(frame(spark, sf_dir, "v_edges").select("caller", "callee"), "edges")
+    defs = frame(spark, sf_dir, "v_defs")
+    nodes, inner = _inner(spark, sf_dir, v_edges=edges)
+    cycles = G.condensation(nodes, inner).filter("scc IS NOT NULL").select("id", "scc")
+    return G.graph_stats(G.graph_nodes(defs, edges).select("id", "external", "file").join(cycles, "id", "left"), edges)
 
 
 def graph_file_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 import itertools
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factloom.operators import fixpoint
+from factloom.operators import fixpoint, graph
 
 
 def shuffled(spark: SparkSession, run) -> tuple:
@@ -46,3 +47,21 @@ def test_more_effects_than_a_mask_has_bits(spark):
     assert {(r["symbol"], r["effect"], *r["path"]) for r in got.collect()} == {x for e in names for x in (("r", e, "r"), ("a", e, "a", "r"), ("b", e, "b", "a", "r"))}
     bare = fixpoint.effect_closure(edges(spark, [("a", "r")]), roots, paths=False)
     assert bare.columns == ["symbol", "effect"] and bare.count() == 124
+
+
+def test_large_condensations_take_the_same_levels(spark):
+    """A cycle amid a chain, over few edges a task; before, no part of it was found in bins."""
+    pairs = [("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("d", "e"), ("x", "a"), ("y", "x"), ("e", "f"), ("b", "f")]
+    nodes, table = spark.createDataFrame([(n,) for n in "abcdefxyz"], "id string"), edges(spark, pairs)
+    want = sorted(map(str, graph.condensation(nodes, table).collect()))
+    assert sorted(map(str, graph.condensation(nodes, table, small_edges=3).collect())) == want
+    found = graph._cycles(spark.createDataFrame([(1, 2), (2, 1), (3, 4), (4, 3), (5, 1)], "a long, b long"), 2)
+    assert {tuple(r) for r in found.collect()} == {(1, 1), (2, 1), (3, 3), (4, 3)}
+
+
+def test_file_rollup_needs_no_cycles(spark):
+    defs = spark.createDataFrame([("a", "a", "f", 1, 3), ("b", "b", "f", 5, 4), ("c", "c", "g", 1, 1)], "id string, display string, file string, line_start int, line_end int").withColumn("language", F.lit("rust"))
+    table = edges(spark, [("a", "b"), ("b", "a"), ("a", "ext::x"), ("c", "lib::y"), ("c", "c")])
+    effects = spark.createDataFrame([("a", "fs"), ("b", "net")], "symbol string, effect string")
+    got = graph.file_rollup(graph.symbol_sets(defs, table, effects)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, graph.file_rollup(graph.symbol_table(defs, table, effects)).collect()))
