@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import itertools
+import random
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import fixpoint, graph
+from factloom.operators import fixpoint, graph, reachability
 
 
 def shuffled(spark: SparkSession, run) -> tuple:
@@ -65,3 +69,32 @@ def test_file_rollup_needs_no_cycles(spark):
     effects = spark.createDataFrame([("a", "fs"), ("b", "net")], "symbol string, effect string")
     got = graph.file_rollup(graph.symbol_sets(defs, table, effects)).collect()
     assert sorted(map(str, got)) == sorted(map(str, graph.file_rollup(graph.symbol_table(defs, table, effects)).collect()))
+
+
+def test_reachable_nodes_are_counted_without_their_pairs(spark):
+    tops, mids, lows = [f"t{i:03}" for i in range(100)], [f"m{i:03}" for i in range(20)], [f"l{i:03}" for i in range(200)]
+    table = edges(spark, [*((t, m) for t in tops for m in mids[:2]), *((m, x) for m in mids for x in lows), ("m001", "m002"), ("m002", "m001")])
+    got, rows = shuffled(spark, lambda: {r[0]: r[1] for r in graph.transitive_counts(table).collect()})
+    assert got == {t: 203 for t in tops} | {m: 201 if m in ("m001", "m002") else 200 for m in mids}
+    assert rows < 40000, rows
+
+
+@pytest.mark.parametrize("size", [5, 5000])
+def test_unions_of_sets(size):
+    """Sparse and dense sets, cut into batches at any place."""
+    r = random.Random(size)
+    parts = sorted((r.randint(0, 2), r.randint(0, 1), i) for i in range(30))
+    sets = [r.sample(range(1 << 16), r.randint(1, size)) for _ in parts]
+    want: dict = {}
+    for (c, block, _), s in zip(parts, sets):
+        want.setdefault((c, block), set()).update(s)
+    low = [s[0] if len(s) == 1 else None for s in sets]
+    els = pa.array([None if len(s) == 1 else reachability._encode(np.sort(np.array(s)), np.array([len(s)]))[0].as_py() for s in sets], pa.binary())
+    table = pa.table({"c": pa.array([p[0] for p in parts], pa.int64()), "block": pa.array([p[1] for p in parts], pa.int32()), "els": els, "low": pa.array(low, pa.int32())})
+    got: dict = {}
+    for batch in reachability.unite(b for b in table.to_batches(max_chunksize=4)):
+        row, found = reachability._decode(batch.column(2))
+        for i, (c, block, k) in enumerate(zip(*(batch.column(j).to_pylist() for j in (0, 1, 3)))):
+            assert (c, block) not in got and k == (row == i).sum()
+            got[c, block] = set(found[row == i].tolist())
+    assert got == want
