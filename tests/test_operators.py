@@ -238,3 +238,18 @@ def test_long_chains_end(spark, monkeypatch):
     assert {r["id"]: r["hops"] for r in got} == {f"n{i:03}": i for i in range(14)}
     long = graph.condense_local([(i, i + 1) for i in range(40_000)])
     assert len(long) == 40_001 and max(level for *_, level in long) == 40_000
+
+
+def test_similar_pairs_need_no_common_key(spark):
+    """Two functions on either side of a size band are similar, and copies are listed once each."""
+    schema = "symbol_id string, language string, file string, arity struct<params:int,results:int,generics:int>, cfg struct<branch_count:int,match_arms:int,loop_count:int,try_count:int,return_points:int,max_nesting:int>, stmt_histogram map<string,int>, call_sequence array<string>, type_shape struct<params:array<string>,result:string>, shingles array<bigint>, token_len int, features map<string,string>"
+    one = lambda i, tokens, calls=("a", "b", "c"), lang="rust": (i, lang, "f.rs", (1, 1, 0), (2, 0, 0, 1, 1, 1), {"let": 2, "if": 1}, list(calls), (["T"], "R"), [1, 2, 3, 4], tokens, {})
+    rows = [one("p", 39), one("q", 40), one("q2", 40), one("other", 40, lang="go"), one("r", 40, ("x",))]
+    table = spark.createDataFrame(rows, schema)
+    assert similarity.candidate_pairs(table, lsh=False).filter("a = 'p' OR b = 'p'").isEmpty()
+    got = {tuple(r) for r in similarity.similar(table, 0.9).collect()}
+    assert got == {("p", "q", "pair"), ("q", "q2", "copy")}
+    pairs = table.select(F.col("symbol_id").alias("a")).crossJoin(table.filter("language = 'rust'").select(F.col("symbol_id").alias("b"))).filter("a < b AND a <> 'other'")
+    want = {(r["a"], r["b"]): r["aggregate"] for r in similarity.score_pairs(table, pairs).collect()}
+    for rows_ in (1, 500):
+        assert {(r["a"], r["b"]): r["aggregate"] for r in similarity.all_pairs(table, 0.0, rows_).collect()} == want
