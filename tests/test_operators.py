@@ -253,3 +253,17 @@ def test_similar_pairs_need_no_common_key(spark):
     want = {(r["a"], r["b"]): r["aggregate"] for r in similarity.score_pairs(table, pairs).collect()}
     for rows_ in (1, 500):
         assert {(r["a"], r["b"]): r["aggregate"] for r in similarity.all_pairs(table, 0.0, rows_).collect()} == want
+
+
+def test_copies_are_scored_once(spark):
+    """Forty copies of two functions: one pair and two classes are scored, and count as 780 + 780 + 1,600."""
+    schema = "symbol_id string, language string, file string, arity struct<params:int,results:int,generics:int>, cfg struct<branch_count:int,match_arms:int,loop_count:int,try_count:int,return_points:int,max_nesting:int>, stmt_histogram map<string,int>, call_sequence array<string>, type_shape struct<params:array<string>,result:string>, shingles array<bigint>, token_len int, features map<string,string>"
+    one = lambda i, t: (i, "rust", "f.rs", (1, 1, 0), (1, 0, 0, 1, 1, 1), {"let": 2, "if": 1}, ["a", "b"], ([t], "R"), [1, 2, 3, 4], 30, {})
+    table = spark.createDataFrame([one(f"{t}{i:02}", t) for t in "xy" for i in range(40)], schema)
+    scored, of = similarity.class_pairs(table, 0.0)
+    assert {(r["a"], r["b"]): r["weight"] for r in scored.collect()} == {("x00", "y00"): 1600, ("x00", "x00"): 780, ("y00", "y00"): 780}
+    got = {(r["a"], r["b"]): round(r["aggregate"], 9) for r in similarity.member_pairs(scored, of).collect()}
+    want = {(r["a"], r["b"]): round(r["aggregate"], 9) for r in similarity.score_pairs(table, similarity.candidate_pairs(table)).collect()}
+    assert got == want and len(got) == 3160
+    found, stats = similarity.analyze(table)
+    assert stats.first()["pairs_compared"] == 3160 and [r["size"] for r in found.collect()] == [80]
