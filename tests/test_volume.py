@@ -11,7 +11,9 @@ import pytest
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom import views
 from factloom.operators import fixpoint, graph, reachability
+from tests.session import SF
 
 
 def shuffled(spark: SparkSession, run) -> tuple:
@@ -98,3 +100,11 @@ def test_unions_of_sets(size):
             assert (c, block) not in got and k == (row == i).sum()
             got[c, block] = set(found[row == i].tolist())
     assert got == want
+
+
+def test_edges_are_made_distinct_on_their_keys(spark):
+    """The same rows as by the text of the view."""
+    text = views.VIEWS["v_edges"]
+    want = spark.sql(text, **{t: spark.read.parquet(f"{SF}/{t}.parquet") for t in views.TABLES if "{" + t + "}" in text})
+    got = views.frame(spark, SF, "v_edges")
+    assert got.schema == want.schema and got.count() == want.count() and got.exceptAll(want).isEmpty()
